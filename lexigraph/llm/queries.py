@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexigraph.llm import bpe
-from lexigraph.llm.common import table
+from lexigraph.llm import bpe, near_duplicates, quality
+from lexigraph.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,3 +24,44 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), "text", path, public_tokenizers.PATTERN)
+
+
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_bucket("doc_id", 5) == 0
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"), held_out=held_out)
+    return quality.score(documents.select("doc_id", "text"), model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= model.cut).cast("int").alias("predicted"),
+    )
+
+
+@_query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 70 * (p.n + q.n - o)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+e AS (SELECT doc_id, coalesce(hash(list_sort(list(g))), 0) AS h FROM s GROUP BY doc_id),
+k AS (SELECT e.doc_id, min(f.doc_id) AS class_id, count(*) AS class_size FROM e JOIN e f ON e.h = f.h GROUP BY e.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
+  (SELECT count(*) FROM l WHERE l.x = d.doc_id)::BIGINT AS n_similar, c.component_id,
+  coalesce(k.class_id, d.doc_id) AS class_id, coalesce(k.class_size, 1)::BIGINT AS class_size
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.x = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""

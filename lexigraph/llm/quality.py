@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexigraph.llm.common import small_batches
 
@@ -143,7 +144,7 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = TRAIN_PAIRS, steps: int =
     latent = np.sort(z @ w)
     bad = len(losers)
     at = float((latent[bad - 1] + latent[bad]) / 2) if bad < len(latent) else float(latent[-1])
-    spread = max(1e-6, float(np.std(d @ w)) / 4.0)
+    spread = max(1e-6, float(np.std(d @ w)) / 2.0)
     return Model(mean, scale, w, at, spread, cut)
 
 
@@ -188,7 +189,7 @@ def score(documents: DataFrame, model: Model, score_col: str = "score") -> DataF
             s = model.score(vectors(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*carried, score_col])
 
-    return source.mapInArrow(run, source.schema.add(score_col, "double"))
+    return source.mapInArrow(run, StructType([*source.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def keep_good(documents: DataFrame, model: Model) -> DataFrame:

@@ -65,3 +65,37 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def long_array(values: list[int]):
+    """A constant array of longs, folded from one string literal: thousands of literals would slow the planner."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+#: log2 of the bits in a filter of ids.
+FILTER_BITS = 18
+
+
+def bit_filter(ids: DataFrame, column: str):
+    """A test on a key column that is true for all ``ids`` and false for most others.
+
+    The filter has a fixed size, whatever the number of ids: it spares work and
+    shuffled rows, and decides nothing by itself.
+    """
+    bits = 1 << FILTER_BITS
+
+    def spot(c):
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    at = spot(F.col(column))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = [0] * (bits >> 6)
+    for row in ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(one).alias("bits")).collect():
+        words[int(row["w"])] = int(row["bits"])
+    table = long_array(words)
+
+    def test(c):
+        at = spot(c)
+        return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return test

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import bpe, near_duplicates, quality
+from lexigraph.llm import bpe, near_duplicates, quality, repeats
 from lexigraph.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
   coalesce(k.class_id, d.doc_id) AS class_id, coalesce(k.class_size, 1)::BIGINT AS class_size
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.x = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
+
+
+@_query
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))

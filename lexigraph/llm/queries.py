@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import bpe, decontaminate, html_text, near_duplicates, quality, repeats, topk, warc
+from lexigraph.llm import attention_lm, bpe, decontaminate, html_text, near_duplicates, quality, repeats, topk, warc
 from lexigraph.llm.common import crc_bucket, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,10 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@_query
+def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    held_out = crc_bucket("doc_id", 7) == 2
+    return attention_lm.score(table(spark, sf_dir, "documents"), held_out, path, public_tokenizers.PATTERN)

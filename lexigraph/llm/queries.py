@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import attention_lm, bpe, decontaminate, html_text, near_duplicates, quality, repeats, topk, warc
+from lexigraph.llm import attention_lm, bpe, decontaminate, html_text, near_duplicates, preferences, quality, repeats, topk, warc
 from lexigraph.llm.common import crc_bucket, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,46 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     held_out = crc_bucket("doc_id", 7) == 2
     return attention_lm.score(table(spark, sf_dir, "documents"), held_out, path, public_tokenizers.PATTERN)
+
+
+@_query
+def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preferences.format_pairs(preferences.echo_pairs(table(spark, sf_dir, "conversations")))
+
+    def spans(mask: str):
+        return F.array_join(F.transform(mask, lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    return pairs.select(
+        F.col("pair_id").alias("conv_id"), "n_prompt_turns", "prompt", "chosen", spans("chosen_mask").alias("chosen_mask"), "rejected", spans("rejected_mask").alias("rejected_mask")
+    )
+
+
+ORACLES["op1_preferences"] = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER w AS place, coalesce(lag(text) OVER w, '') AS before
+  FROM conversations WHERE conv_id IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+l AS (SELECT conv_id, max(place) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+r AS (
+  SELECT t.conv_id, t.place, last, role, text AS c, CASE WHEN place = last THEN before ELSE text END AS d FROM t JOIN l USING (conv_id) WHERE place <= last),
+f AS (SELECT conv_id, coalesce(min(CASE WHEN c <> d THEN place END), max(place) + 1) AS first FROM r GROUP BY conv_id),
+p AS (
+  SELECT conv_id, place, role, first, '<|im_start|>' || role || chr(10) || c || '<|im_end|>' || chr(10) AS c,
+    '<|im_start|>' || role || chr(10) || d || '<|im_end|>' || chr(10) AS d FROM r JOIN f USING (conv_id)),
+s AS (
+  SELECT *, coalesce(sum(CASE WHEN place >= first THEN length(c) END) OVER (PARTITION BY conv_id ORDER BY place), 0) AS ce,
+    coalesce(sum(CASE WHEN place >= first THEN length(d) END) OVER (PARTITION BY conv_id ORDER BY place), 0) AS de FROM p)
+SELECT conv_id, (max(first) - 1)::BIGINT AS n_prompt_turns,
+  coalesce(string_agg(CASE WHEN place < first THEN c END, '' ORDER BY place), '') AS prompt,
+  coalesce(string_agg(CASE WHEN place >= first THEN c END, '' ORDER BY place), '') AS chosen,
+  coalesce(string_agg(CASE WHEN place >= first AND role = 'assistant' THEN (ce - length(c) + 22)::BIGINT || '-' || (ce - 1)::BIGINT END, ',' ORDER BY place), '') AS chosen_mask,
+  coalesce(string_agg(CASE WHEN place >= first THEN d END, '' ORDER BY place), '') AS rejected,
+  coalesce(string_agg(CASE WHEN place >= first AND role = 'assistant' THEN (de - length(d) + 22)::BIGINT || '-' || (de - 1)::BIGINT END, ',' ORDER BY place), '') AS rejected_mask
+FROM s GROUP BY conv_id
+"""
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -263,9 +263,14 @@ def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with repeated strings cut from their texts; texts that end up empty stay as rows."""
+    """The documents with repeated strings cut from their texts; texts that end up empty stay as rows.
+
+    A column ``n_chars`` follows the new text.
+    """
     done = cut(documents, length, whole_characters=True)
-    return done.select(*[F.col("kept").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
+    text = F.col("kept").cast("string")
+    new = {"text": text.alias("text"), "n_chars": F.length(text).cast("bigint").alias("n_chars")}
+    return done.select(*[new.get(c, F.col(f"`{c}`")) for c in documents.columns])
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple[int, int, int, int, str]]:

@@ -38,9 +38,9 @@ from lexigraph.llm.bpe import loaded
 from lexigraph.llm.common import ascii_lower, small_batches, stored
 
 #: Rows of the input tables (the most frequent ids have their own), classes, width, window, least context.
-ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 128, 16, 32, 8
+ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 64, 16, 24, 6
 #: Share of the windows of every training document on which weights are trained, windows of a step, its rate.
-TRAIN_EVERY, BATCH, RATE = 8, 64, 0.01
+TRAIN_EVERY, BATCH, RATE = 16, 32, 0.03
 #: Weight of the unigram share in the share of a row after another.
 BACKOFF = 5.0
 #: A word at least this share of all training tokens is looked up in memory: at most its inverse many words.
@@ -51,40 +51,20 @@ _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
 class Coder:
-    """Words to ids, each distinct word encoded once."""
+    """Words to ids: a text is encoded with one blank before each of its words."""
 
     def __init__(self, path: str, pattern: str):
         self.bpe = loaded(path, pattern)
         self.end = len(self.bpe._tokens)
-        self._reset()
-
-    def _reset(self) -> None:
-        self._slot: dict[str, int] = {}
-        self._ids = np.zeros(0, np.int32)
-        self._starts = np.zeros(0, np.int64)
-        self._sizes = np.zeros(0, np.int64)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of each word)."""
-        if len(self._slot) > 200_000:
-            self._reset()
-        fresh = list(set(words).difference(self._slot))
-        if fresh:
-            ids, ends = self.bpe.encode_batch([" " + w for w in fresh])
-            base = len(self._starts)
-            self._starts = np.concatenate([self._starts, ends[:-1] + len(self._ids)])
-            self._sizes = np.concatenate([self._sizes, np.diff(ends)])
-            self._ids = np.concatenate([self._ids, ids])
-            self._slot.update(zip(fresh, range(base, base + len(fresh))))
-        slot = self._slot
-        at = np.array([slot[w] for w in words], dtype=np.int64)
-        sizes = self._sizes[at]
-        return ragged.gather(self._ids, self._starts[at], sizes), sizes
+        ids, ends = self.bpe.encode_batch([" " + w for w in words])
+        return ids, np.diff(ends)
 
     def documents(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): an end mark, the ids of the words, an end mark."""
-        flat, sizes = self.words([w for row in rows for w in row])
-        ends = ragged.offsets(sizes)[ragged.offsets(np.array([len(r) for r in rows], dtype=np.int64))]
+        flat, ends = self.bpe.encode_batch([" " + " ".join(row) if row else "" for row in rows])
         lengths = np.diff(ends) + 2
         starts = ragged.offsets(lengths)
         out = np.full(starts[-1], self.end, dtype=np.int32)
@@ -95,9 +75,17 @@ class Coder:
         return out, starts
 
 
+#: What str.split() takes for white space beyond the ASCII blanks.
+_ODD = "".join(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \t\n\x0b\x0c\r")
+
+
 def split(text: str | None) -> list[str]:
     """Words of a text whose A-Z are in lower case already; white space is ASCII alone."""
-    return [w for w in _SPACE.split(text) if w] if text else []
+    if not text:
+        return []
+    if any(c in text for c in (_ODD[:4] if text.isascii() else _ODD)):
+        return [w for w in _SPACE.split(text) if w]
+    return text.split()
 
 
 @dataclass
@@ -114,6 +102,14 @@ class Weights:
     value: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    tame: bool = False  # no sum in it can reach the range where exp overflows
+
+    def tamed(self) -> "Weights":
+        length = [float(np.sqrt((t.astype(np.float64) ** 2).sum(axis=1).max())) for t in (self.query, self.key, self.value)]
+        scores = length[0] * length[1] / math.sqrt(WIDTH) + float(np.abs(self.bias).max())
+        logits = length[2] * float(np.sqrt((self.out.astype(np.float64) ** 2).sum(axis=0).max()))
+        self.tame = scores < float(_HIGH) and logits < float(_HIGH)
+        return self
 
     NAMES = ("query", "key", "value", "out", "bias")
 
@@ -194,7 +190,8 @@ def _attend(w: Weights, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarr
     s = np.matmul(q, k.transpose(0, 2, 1))
     s *= np.float32(1 / math.sqrt(WIDTH))
     s += w.bias[np.maximum(_GAPS, 0)]
-    np.minimum(s, _HIGH, out=s)  # so that exp stays finite without a pass for the maximum
+    if not w.tame:
+        np.minimum(s, _HIGH, out=s)  # so that exp stays finite without a pass for the maximum
     np.exp(s, out=s)
     s *= _PAST
     s /= np.matmul(s, _ONES)
@@ -229,7 +226,8 @@ def log_probabilities(w: Weights, ids: np.ndarray, starts: np.ndarray) -> np.nda
         target = padded[at + 1][scored]
         logits = mixed[scored] @ w.out
         logits += w.bigram[rows[scored]]
-        np.minimum(logits, _HIGH, out=logits)
+        if not w.tame:
+            np.minimum(logits, _HIGH, out=logits)
         group = w.group[target]
         picked = logits[np.arange(len(target)), group]
         np.exp(logits, out=logits)
@@ -378,7 +376,7 @@ def train(coded: DataFrame, counts: DataFrame, path: str, pattern: str) -> Weigh
     start = assemble(n, row, table.reshape(ROWS, ROWS))
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Weights(**{k: getattr(start, k).copy() for k in start.__dataclass_fields__})
+        mine = Weights(**{k: np.copy(getattr(start, k)) for k in start.__dataclass_fields__ if k != "tame"})
         trainer = Trainer(mine)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -414,7 +412,7 @@ def train(coded: DataFrame, counts: DataFrame, path: str, pattern: str) -> Weigh
             old = getattr(start, name)
             setattr(start, name, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
-    return start
+    return start.tamed()
 
 
 def score(documents: DataFrame, held_out: Column, path: str, pattern: str) -> DataFrame:

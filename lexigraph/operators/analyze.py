@@ -14,6 +14,7 @@ from lexigraph.config import CaseHandling, Config, TokenNumbering, WhitespaceHan
 from lexigraph.functions.text import lower1, parts, runs, words
 from lexigraph.operators.lexicon import Lexicon
 from lexigraph.operators.paths import fits_case, segmentations
+from lexigraph.plans.storage import stored
 
 IGN, SPACE = 0, 1
 ROW = ["ord", "src", "dst", "orth", "lemma", "tag_id", "name_id", "labels_id"]
@@ -36,7 +37,8 @@ def _raised(low: Column, first: Column, last: Column, bits: Column, moved: Colum
 def interpret_words(distinct: DataFrame, lexicon: Lexicon, config: Config) -> tuple[DataFrame, DataFrame]:
     """(rows of the words that have a reading, words that have a path at all) of distinct ``word`` rows."""
     variant = lexicon.rules.variant(config.aggl, config.praet)
-    found = segmentations(distinct, lexicon, variant)
+    # written once: what follows reads it several times
+    found = stored(segmentations(distinct, lexicon, variant), "paths")
     reached = found.select("word").distinct()
     case = config.case_handling
     kept = found
@@ -79,7 +81,7 @@ def interpret_words(distinct: DataFrame, lexicon: Lexicon, config: Config) -> tu
     edges = edges.withColumn("again", F.row_number().over(same)).where(whole | (F.col("again") == 1))
     at = own.orderBy("start")
     edges = edges.withColumn("src", F.dense_rank().over(at) - 1)
-    edges = edges.withColumn("nodes", F.max("src").over(own) + 1)
+    edges = stored(edges.withColumn("nodes", F.max("src").over(own) + 1), "edges")
     later = edges.select(F.col("word"), F.col("start").alias("end"), F.col("src").alias("next")).distinct()
     edges = edges.join(later, ["word", "end"], "left").withColumn("dst", F.coalesce("next", "nodes"))
     # node 0 keeps the order of paths; a later node lists its first edge, then the others backwards
@@ -105,7 +107,9 @@ def interpret_words(distinct: DataFrame, lexicon: Lexicon, config: Config) -> tu
 def word_table(distinct: DataFrame, lexicon: Lexicon, config: Config) -> DataFrame:
     """Rows of all distinct words, known or not: ``word, nodes`` and the columns of ``ROW``."""
     separators = lexicon.rules.separators
+    distinct = stored(distinct, "distinct")
     known, reached = interpret_words(distinct, lexicon, config)
+    known = stored(known, "known")
     with_rows = known.select("word").distinct()
 
     def ign(df: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def analyze(texts: DataFrame, lexicon: Lexicon, config: Config = Config(), id_co
     if carried:
         cut = cut.join(texts.select(id_col, *carried).distinct(), id_col)
     distinct = cut.where("not space").select(F.col("token").alias("word")).distinct()
-    table = word_table(distinct, lexicon, config)
+    table = stored(word_table(distinct, lexicon, config), "words")
     return number(cut, table, config, id_col, session, order)
 
 

@@ -73,4 +73,5 @@ def segmentations(words: DataFrame, lexicon: Lexicon, variant: Variant) -> DataF
             frontier = stored(frontier, "paths")
             if frontier.where("pos < len").isEmpty():
                 break
+    # a path that ended in an earlier step has state and weakness of its own
     return frontier.where(ended).select("word", "low", "path", F.col("was_weak").alias("weak"))

@@ -67,7 +67,7 @@ def lower1_py(text: str) -> str:
 
 def canonical_labels(text: Column) -> Column:
     """Labels trimmed, sorted and without repeats; ``_`` for none."""
-    each = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda x: x != "")))
+    each = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, r"\|"), lambda x: F.trim(x)), lambda x: x != "")))
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit("_")).otherwise(F.array_join(each, "|"))
 
 

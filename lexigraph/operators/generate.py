@@ -22,10 +22,10 @@ def generate(lemmas: DataFrame, lexicon: Lexicon, config: Config = Config(), id_
         raise Unsupported("the lexicon was not compiled for generation")
     if tag_id is not None and lexicon.tags.where(F.col("tag_id") == tag_id).isEmpty():
         raise InvalidArgument(f"Invalid tag id (outside of tagset): {tag_id}")
-    asked = lemmas.select(F.col(id_col), F.coalesce(F.col(lemma_col), F.lit("")).alias("asked"))
-    asked = asked.withColumn("error", F.when(has_whitespace(F.col("asked")), F.lit("Lemma parameter contains whitespace.")))
-    asked = asked.withColumn("word", F.substring_index("asked", ":", 1)).withColumn("wanted", F.when(F.contains("asked", F.lit(":")), F.regexp_extract("asked", r"^[^:]*:([\s\S]*)$", 1)))
-    distinct = asked.where("error is null").select("word").distinct()
+    asked = lemmas.select(F.col(id_col), F.coalesce(F.col(lemma_col), F.lit("")).alias("__asked"))
+    asked = asked.withColumn("__error", F.when(has_whitespace(F.col("__asked")), F.lit("Lemma parameter contains whitespace.")))
+    asked = asked.withColumn("word", F.substring_index("__asked", ":", 1)).withColumn("__wanted", F.when(F.contains("__asked", F.lit(":")), F.regexp_extract("__asked", r"^[^:]*:([\s\S]*)$", 1)))
+    distinct = asked.where("__error is null").select("word").distinct()
     found = segmentations(distinct, lexicon, lexicon.rules.variant(config.aggl, config.praet))
     own = Window.partitionBy("word")
     kept = found.withColumn("strong", F.bool_or(~F.col("weak")).over(own)).where("not weak or not strong")
@@ -45,13 +45,13 @@ def generate(lemmas: DataFrame, lexicon: Lexicon, config: Config = Config(), id_
         "word", F.row_number().over(own.orderBy("path_no", "i", "k")).alias("ord"), F.concat(ahead, F.col("x.prefix"), stem, F.col("x.suffix")).alias("orth"),
         lemma.alias("lemma"), F.col("x.homonym").alias("homonym"), "x.tag_id", "x.name_id", "x.labels_id",
     )
-    joined = asked.where("error is null").join(forms, "word").where("wanted is null or wanted = homonym")
-    shape = [id_col, "ord", "orth", "lemma", "tag_id", "name_id", "labels_id", "error"]
-    known = joined.select(*shape)
+    joined = asked.where("__error is null").join(forms, "word").where("__wanted is null or __wanted = homonym")
+    shape = [id_col, "ord", "orth", "lemma", "tag_id", "name_id", "labels_id"]
+    known = joined.select(*shape, F.col("__error").alias("error"))
     none = asked.join(known.select(id_col).distinct(), id_col, "left_anti")
     ign = none.select(
-        id_col, F.lit(1).alias("ord"), F.when(F.col("error").isNull(), F.col("asked")).alias("orth"), F.when(F.col("error").isNull(), F.col("asked")).alias("lemma"),
-        F.when(F.col("error").isNull(), F.lit(0)).alias("tag_id"), F.lit(0).alias("name_id"), F.lit(0).alias("labels_id"), "error",
+        id_col, F.lit(1).alias("ord"), F.when(F.col("__error").isNull(), F.col("__asked")).alias("orth"), F.when(F.col("__error").isNull(), F.col("__asked")).alias("lemma"),
+        F.when(F.col("__error").isNull(), F.lit(0)).alias("tag_id"), F.lit(0).alias("name_id"), F.lit(0).alias("labels_id"), F.col("__error").alias("error"),
     )
     out = known.unionByName(ign)
     return out if tag_id is None else out.where((F.col("tag_id") == tag_id) | F.col("error").isNotNull())

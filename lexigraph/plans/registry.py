@@ -25,13 +25,20 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return file
 
 
+def _filled() -> None:
+    from lexigraph.plans import library  # noqa: F401  (files its queries as it is imported)
+
+
 def queries() -> dict[str, Query]:
+    _filled()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _filled()
     return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _filled()
     return _QUERIES["analyze_documents"](spark, sf_dir)

@@ -58,11 +58,12 @@ def interpret_words(distinct: DataFrame, lexicon: Lexicon, config: Config) -> tu
     )
     key = F.substring(F.col("low"), F.col("s") + 1, F.col("e") - F.col("s"))
     read = chunks.withColumn("lex_key", key).join(lexicon.groups, ["lex_key", "seg_type"])
-    orth = F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s"))
+    # a column of its own: lambdas below refer to it
+    read = read.withColumn("spelt", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")))
     if case == CaseHandling.IGNORE_CASE:
         usable = F.col("interps")
     else:
-        usable = F.filter("interps", lambda x: fits_case(orth, x["orth_bits"]))
+        usable = F.filter("interps", lambda x: fits_case(F.col("spelt"), x["orth_bits"]))
         if case == CaseHandling.CONDITIONALLY_CASE_SENSITIVE:
             usable = F.when(F.size(usable) == 0, F.col("interps")).otherwise(usable)
     read = read.withColumn("usable", usable)

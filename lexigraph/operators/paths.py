@@ -56,8 +56,8 @@ def segmentations(words: DataFrame, lexicon: Lexicon, variant: Variant) -> DataF
         tried = frontier.select("*", F.explode(ends).alias("e")).withColumn("lex_key", F.when(ended, F.concat(F.lit("\0"), F.col("word"))).otherwise(part))
         met = tried.join(keys, "lex_key", "left").join(rules, ["state", "seg_type"], "left")
         met = met.where(ended | ((F.col("e") == F.col("len")) & F.col("accepting")) | ((F.col("e") < F.col("len")) & ~F.col("sink")))
-        orth = F.substring(word, F.col("pos") + 1, F.col("e") - F.col("pos"))
-        ok = F.lit(True) if lexicon.generator else F.exists("bits", lambda b: fits_case(orth, b))
+        met = met.withColumn("orth", F.substring(word, F.col("pos") + 1, F.col("e") - F.col("pos")))
+        ok = F.lit(True) if lexicon.generator else F.exists("bits", lambda b: fits_case(F.col("orth"), b))
         piece = F.struct(F.col("e"), F.col("seg_type"), F.col("pos").alias("s"), F.col("shift"), ok.alias("ok"))
         frontier = met.select(
             "word", "low", "len",

@@ -138,11 +138,12 @@ def search(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> Da
     spark = vectors.sparkSession
     small_batches(spark, 4096)
     norm = F.aggregate("v", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
-    largest = {int(r["n"]): float(r["m"]) for r in vectors.groupBy(F.size("v").alias("n")).agg(F.max(norm).alias("m")).limit(100_000).collect()}
+    largest = {int(r["n"]): float(r["m"]) for r in vectors.groupBy(F.size("v").alias("n")).agg(F.max(norm).alias("m")).collect()}
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     chosen: dict[int, np.ndarray] = {}
     for n in {len(r["v"]) for r in sample}:
-        x = np.array([r["v"] for r in sample if len(r["v"]) == n], dtype=np.float64).reshape(-1, n)
+        own = [r["v"] for r in sample if len(r["v"]) == n]
+        x = np.array(own, dtype=np.float64).reshape(len(own), n)
         chosen[n] = choose_pivots(_augmented(x, largest[n]), pivots)
     path = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
     vectors.where(is_query).write.parquet(path)

@@ -32,7 +32,9 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 #: Pieces kept between batches, and cells of one matrix.
 _CACHE_PIECES = 250_000
-_MATRIX_CELLS = 1 << 21
+_MATRIX_CELLS = 1 << 20
+#: Characters whose pieces are held at a time.
+_BATCH_CHARS = 1 << 20
 
 
 class ByteBpe:
@@ -229,6 +231,20 @@ class ByteBpe:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, special tokens not being known."""
+        cuts, held = [0], 0
+        for i, text in enumerate(texts):
+            if held and held + len(text) > _BATCH_CHARS:
+                cuts.append(i)
+                held = 0
+            held += len(text)
+        cuts.append(len(texts))
+        done = [self._encode_some(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        if len(done) == 1:
+            return done[0]
+        lengths = np.concatenate([np.diff(ends) for _, ends in done])
+        return np.concatenate([ids for ids, _ in done]), ragged.offsets(lengths)
+
+    def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = self.pattern.findall
         pieces = [split(t) for t in texts]
         if len(self._known) > _CACHE_PIECES:

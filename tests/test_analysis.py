@@ -63,7 +63,7 @@ def test_numbering_and_blanks(spark, lexicon):
 def test_generation(spark):
     lexicon = toy.generator(spark)
     df = spark.createDataFrame([(0, "house"), (1, "rehouse"), (2, "be:x"), (3, "nothing"), (4, "a b"), (5, None)], "doc_id bigint, lemma string")
-    rows = pr.named(gn.generate(df, lexicon), lexicon).collect()
+    rows = pr.named(gn.generate(df, lexicon, Config(aggl="permissive")), lexicon).collect()
     got = {i: sorted((r["orth"], r["lemma"], r["tag"]) for r in rows if r["doc_id"] == i) for i in range(6)}
     assert got[0] == [("house", "house", "noun:sg"), ("houses", "house", "noun:sg")]
     assert got[1] == [("rehouse", "rehouse", "noun:sg"), ("rehouses", "rehouse", "noun:sg")]

@@ -1,14 +1,13 @@
-"""Benchmark passages in documents, by embedded edit distance and LSH.
+"""Benchmark passages in documents, by shared stretches and exact edit distance.
 
 Texts are word sequences (lower case, punctuation at the ends of a word
-dropped).  A random walk (CGK) maps the window that starts at a word to a
-string: at each step the current word is copied, and a random bit of step and
-word says whether to move on.  A small edit distance then becomes, with good
-probability, a small Hamming distance.  Repeated samples of a few steps are
-the hash keys: a window is a candidate for every item that has the same words
-at the sampled steps.  Items of like size share the number of steps, so that
-steps stay inside item-sized windows.  Each candidate is verified by the exact
-edit distance of the item to the best window near by.
+dropped).  An item of which at most e words may be edited is cut into e + 1
+stretches over its whole length.  An edit changes one stretch at most, so every
+copy within the threshold, wherever its edits lie, holds one stretch unchanged.
+The first words of each stretch (``SEED`` at most) are a hash key; a place of a
+document with these words is a candidate for the item at the stretch's offset.
+Each candidate is verified by the exact edit distance of the item to the best
+window that can hold it.  So candidates are complete, and the result is exact.
 
 Items are held in blocks of bounded size; a larger benchmark takes more passes
 over the documents, never a larger broadcast.
@@ -32,10 +31,8 @@ from lexigraph.llm.common import small_batches
 
 #: Largest share of an item's words that may be edited.
 SHARE = 0.15
-#: Walks, samples of each walk, and sampled steps of each sample.
-WALKS, SAMPLES, PICKED = 3, 10, 4
-#: Least words of an item in a size class, and the steps of its walks.
-CLASSES = ((1, 2), (4, 6), (8, 14), (14, 26), (24, 32))
+#: Most words of a stretch in its hash key.
+SEED = 8
 #: Items and characters of a block.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 
@@ -77,7 +74,7 @@ class _Vocabulary(dict):
 class Index:
     """Hash tables of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE, seed: int = 11):
+    def __init__(self, items: list[tuple[int, str]], share: float = SHARE):
         split = [(i, words(t)) for i, t in items]
         split = [(i, w) for i, w in split if w]
         known: dict[str, int] = {}
@@ -88,50 +85,23 @@ class Index:
         self.ids = [i for i, _ in split]
         self.items = [np.array([known[x] for x in w], dtype=np.int32) for _, w in split]
         self.edits = [int(share * len(x)) for x in self.items]
-        rng = np.random.default_rng(seed)
-        size = len(known) + 1
-        bounds = [b for b, _ in CLASSES] + [1 << 60]
-        self.classes = []
-        for (least, steps), most in zip(CLASSES, bounds[1:]):
-            own = [k for k, x in enumerate(self.items) if least <= len(x) < most]
-            walks = []
-            for _ in range(WALKS):
-                moves = rng.integers(0, 2, (steps, size)).astype(np.int8)
-                picks = [np.sort(rng.choice(steps, min(PICKED, steps), replace=False)) for _ in range(SAMPLES)]
-                walks.append((moves, picks))
-            if not own:
-                continue
-            longest = max(len(self.items[k]) for k in own)
-            padded = np.zeros((len(own), longest + steps), dtype=np.int32)
-            for line, k in enumerate(own):
-                padded[line, : len(self.items[k])] = self.items[k]
-            start = np.zeros(size, dtype=bool)
-            start[np.concatenate([self.items[k] for k in own])] = True
-            start[0] = False
-            tables = []
-            for moves, picks in walks:
-                at = np.zeros(len(own), dtype=np.int64)
-                line = np.arange(len(own))
-                seen = np.empty((steps, len(own)), dtype=np.int32)
-                for j in range(steps):
-                    seen[j] = padded[line, at]
-                    at += moves[j, seen[j]]
-                tests = []
-                for pick in picks:
-                    rows = seen[pick]
-                    inside = (rows > 0).all(axis=0)
-                    first = np.zeros(size, dtype=bool)
-                    first[rows[0][inside]] = True
-                    keys: dict[bytes, list[int]] = {}
-                    for k, key in zip(np.array(own)[inside].tolist(), np.ascontiguousarray(rows.T[inside])):
-                        keys.setdefault(key.tobytes(), []).append(k)
-                    second = np.zeros(size, dtype=bool)
-                    if len(pick) > 1:
-                        second[rows[1][inside]] = True
-                    folded = np.unique(self._fold(rows[:, inside]))
-                    tests.append((pick, first, second, folded, keys))
-                tables.append((moves, tests))
-            self.classes.append((steps, start, tables))
+        seeds: dict[int, list[tuple[int, int]]] = {}  # length -> (item, offset)
+        for k, x in enumerate(self.items):
+            parts = min(self.edits[k] + 1, len(x))
+            bounds = [len(x) * j // parts for j in range(parts + 1)]
+            for low, high in zip(bounds, bounds[1:]):
+                seeds.setdefault(min(high - low, SEED), []).append((k, low))
+        self.tables = []
+        for length, own in sorted(seeds.items()):
+            rows = np.array([self.items[k][o : o + length] for k, o in own]).T
+            at = []  # for each place in a key, which words stand there
+            for row in rows:
+                here = np.zeros(len(known) + 1, dtype=bool)
+                here[row] = True
+                at.append(here)
+            folded = self._fold(rows)
+            order = np.argsort(folded, kind="stable")
+            self.tables.append((at, folded[order], np.array(own)[order]))
 
     @staticmethod
     def _fold(rows: np.ndarray) -> np.ndarray:
@@ -141,35 +111,19 @@ class Index:
             h ^= h >> np.uint64(29)
         return h
 
-    def candidates(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(place, item) of the windows that share a sample with an item; ids are padded by the caller."""
-        found: set[tuple[int, int]] = set()
-        for steps, start, tables in self.classes:
-            places = np.flatnonzero(start[ids])
-            if not len(places):
-                continue
-            padded = np.concatenate([ids, np.zeros(steps, dtype=ids.dtype)])
-            for moves, tests in tables:
-                at = places.copy()
-                seen = np.empty((steps, len(places)), dtype=np.int32)
-                for j in range(steps):
-                    seen[j] = padded[at]
-                    at += moves[j][seen[j]]
-                for pick, first, second, folded, keys in tests:
-                    hit = np.flatnonzero(first[seen[pick[0]]])
-                    if len(pick) > 1:
-                        hit = hit[second[seen[pick[1], hit]]]
-                    if not len(hit):
-                        continue
-                    rows = seen[pick][:, hit]
-                    h = self._fold(rows)
-                    spot = np.searchsorted(folded, h)
-                    spot[spot == len(folded)] = 0
-                    ok = folded[spot] == h if len(folded) else np.zeros(len(h), bool)
-                    for k, key in zip(hit[ok].tolist(), np.ascontiguousarray(rows.T[ok])):
-                        for item in keys.get(key.tobytes(), ()):
-                            found.add((int(places[k]), item))
-        return found
+    def candidates(self, ids: np.ndarray) -> np.ndarray:
+        """Rows (place, item, offset): the item's stretch at the offset begins at the place; after each text are SEED zeros at least."""
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for at, folded, own in self.tables:
+            hit = np.flatnonzero(at[0][ids])
+            for j in range(1, len(at)):
+                hit = hit[at[j][ids[hit + j]]]
+            h = self._fold(np.stack([ids[hit + j] for j in range(len(at))]))
+            low, high = np.searchsorted(folded, h), np.searchsorted(folded, h, side="right")
+            n = high - low
+            line = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.append(np.concatenate([np.repeat(hit, n)[:, None], own[line]], axis=1))
+        return np.concatenate(found)
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(row, item id, distance, word at which the found stretch ends) of the verified items of each text, the best stretch of each."""
@@ -183,23 +137,25 @@ class Index:
             parts += [ids, gap]
             total += len(ids) + len(gap)
             ends.append(total)
-        if not parts or not self.classes:
+        if not parts or not self.tables:
             return []
         flat = np.concatenate(parts)
         limits = np.array(ends)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         done: set[tuple[int, int]] = set()
-        for place, item in sorted(self.candidates(flat)):
+        for place, item, offset in sorted(self.candidates(flat).tolist()):
             row = int(np.searchsorted(limits, place, side="right"))
             words_, edits = self.items[item], self.edits[item]
             if best.get((row, item), (edits + 1, 0))[0] == 0:
                 continue
             low = limits[row - 1] if row else 0
-            a = max(low, place - edits - len(words_) // 2)
-            if (a // 8, item) in done:
+            # edits before the stretch move the item's begin by their number at most
+            group = max(low, place - offset - edits) // 8
+            if (group, item) in done:
                 continue
-            done.add((a // 8, item))
-            b = min(limits[row] - len(gap), place + len(words_) + edits + 8)
+            done.add((group, item))
+            a = max(low, group * 8)
+            b = min(limits[row] - len(gap), group * 8 + 8 + len(words_) + 2 * edits)
             stretch = flat[a:b]
             # every kept word of the item must be there
             if np.isin(words_, stretch).sum() < len(words_) - edits:

@@ -54,6 +54,28 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_wherever_the_edits_are(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items, texts = [], []
+    for n in (8, 20, 57, 200):
+        for edit in ("front", "back", "cut", "spread") * 3:
+            words, edits = rng.choices(vocabulary, k=n), int(0.15 * n)
+            items.append((len(items), " ".join(words)))
+            if edit == "front":
+                words[:edits] = ["x"] * edits
+            elif edit == "back":
+                words[-edits:] = ["x"] * edits
+            elif edit == "cut":
+                del words[:edits]
+            else:
+                for _ in range(edits):
+                    words[rng.randrange(len(words))] = "x"
+            texts.append(" ".join(rng.choices(vocabulary, k=30) + words + rng.choices(vocabulary, k=30)))
+    found = decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(len(items))}
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "u3", "aa"), (1, "u1", "bb"), (2, "u2", "aa"), (5, None, None), (4, "u4", ""), (7, "u7", "aa"), (7, "u7", "aa"), (None, "x", "y")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")

@@ -7,7 +7,7 @@ class given the ids before, times its share of the class after the last id, from
 counts of all training text.  The class logits are a table by the last id (from
 the same counts) plus one causal attention layer over the last ids, whose weights numpy
 trains by gradient descent: every task starts from the same weights and makes
-one pass over windows of its documents, and the weighted mean of the results is
+one pass over all windows of its documents, and the weighted mean of the results is
 the model.  Scoring cuts a text into overlapping windows in which every id is
 scored once, with a stated least context, by batched masked attention.
 
@@ -39,8 +39,8 @@ from lexigraph.llm.common import ascii_lower, small_batches, stored
 
 #: Rows of the input tables (the most frequent ids have their own), classes, width, window, least context.
 ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 64, 16, 24, 6
-#: Share of the windows of every training document on which weights are trained, windows of a step, its rate.
-TRAIN_EVERY, BATCH, RATE = 16, 32, 0.03
+#: Windows of a step, and its rate.
+BATCH, RATE = 32, 0.03
 #: Weight of the unigram share in the share of a row after another.
 BACKOFF = 5.0
 #: A word at least this share of all training tokens is looked up in memory: at most its inverse many words.
@@ -287,6 +287,25 @@ class Trainer:
             p_ -= (RATE / (1 - 0.9**t)) * m / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
         return loss
 
+    def texts(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], end: int) -> None:
+        """One pass over every window of the texts, given as batches of (ids, offsets)."""
+        held = [(np.zeros((0, WINDOW), self.w.row.dtype), np.zeros(0, np.int64), np.zeros((0, WINDOW), self.w.group.dtype))]
+        for ids, starts in batches:
+            _, begin, sizes, _ = windows(starts[:-1], np.diff(starts) - 1)
+            padded = np.concatenate([ids, np.full(WINDOW + 1, end, dtype=ids.dtype)])
+            for low in range(0, len(begin), 4096):  # bounds what is gathered at a time
+                part = slice(low, low + 4096)
+                at = begin[part][:, None] + np.arange(WINDOW)
+                held.append((self.w.row[padded[at]], sizes[part], self.w.group[padded[at + 1]]))
+                rows, sizes_, groups = (np.concatenate(x) for x in zip(*held))
+                whole = len(rows) // BATCH * BATCH
+                for first in range(0, whole, BATCH):
+                    step = slice(first, first + BATCH)
+                    self.step(rows[step], sizes_[step], groups[step])
+                held = [(rows[whole:], sizes_[whole:], groups[whole:])]
+        if len(held[0][0]):
+            self.step(*held[0])
+
 
 def _lowered(documents: DataFrame, held_out: Column) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -353,14 +372,14 @@ def train(coded: DataFrame, counts: DataFrame, path: str, pattern: str) -> Weigh
     n[found["id"].to_numpy(dtype=np.int64)] = found["n"]
     row = _rows(n)
     small_batches(coded.sparkSession)
-    texts = coded.where("not held_out").select("doc_id", "ids")
+    texts = coded.where("not held_out").select("ids")
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ROWS * ROWS, dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, starts = _unpacked(batch.column(1), kind)
+            ids, starts = _unpacked(batch.column(0), kind)
             r = row[ids].astype(np.int64)
             cell = r[:-1] * ROWS + r[1:]
             inside = np.ones(len(cell), dtype=bool)
@@ -378,28 +397,7 @@ def train(coded: DataFrame, counts: DataFrame, path: str, pattern: str) -> Weigh
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Weights(**{k: np.copy(getattr(start, k)) for k in start.__dataclass_fields__ if k != "tame"})
         trainer = Trainer(mine)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
-            ids, starts = _unpacked(batch.column(1), kind)
-            owner, begin, sizes, first = windows(starts[:-1], np.diff(starts) - 1)
-            number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            use = (number + doc[owner]) % TRAIN_EVERY == 0
-            padded = np.concatenate([ids, np.full(WINDOW + 1, end, dtype=ids.dtype)])
-            at = begin[use][:, None] + np.arange(WINDOW)
-            held.append((mine.row[padded[at]], sizes[use], mine.group[padded[at + 1]]))
-            if sum(len(h[0]) for h in held) >= BATCH:
-                rows, sizes_, groups = (np.concatenate(x) for x in zip(*held))
-                whole = len(rows) // BATCH * BATCH
-                for low in range(0, whole, BATCH):
-                    part = slice(low, low + BATCH)
-                    trainer.step(rows[part], sizes_[part], groups[part])
-                held = [(rows[whole:], sizes_[whole:], groups[whole:])]
-        if held and sum(len(h[0]) for h in held):
-            rows, sizes_, groups = (np.concatenate(x) for x in zip(*held))
-            trainer.step(rows, sizes_, groups)
+        trainer.texts((_unpacked(batch.column(0), kind) for batch in batches if batch.num_rows), end)
         if trainer.tokens:
             flat = np.concatenate([p.ravel() for p in mine.trained()]).astype(np.float64) * trainer.tokens
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), float(trainer.tokens)))], names=["i", "s", "n"])

@@ -195,6 +195,25 @@ def test_language_model(spark):
     assert len(seen) == len(set(seen)) == 105
 
 
+def test_language_model_trains_on_every_window(spark):
+    n = np.ones(3000)
+    row = attention_lm._rows(n)
+    table = np.zeros((attention_lm.ROWS, attention_lm.ROWS))
+    lengths = np.array([2, 3, 5, 24, 25, 26, 100, 3000, 2])
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    ids = np.random.default_rng(1).integers(0, 199, starts[-1]).astype(np.int32)
+    trainer = attention_lm.Trainer(attention_lm.assemble(n, row, table))
+    trainer.texts(iter([(ids[: starts[4]], starts[:5]), (ids[starts[4] :], starts[4:] - starts[4])]), 199)
+    sizes = attention_lm.windows(starts[:-1], lengths - 1)[2]
+    assert trainer.tokens == sizes.sum() and trainer.steps == -(-len(sizes) // attention_lm.BATCH)
+    outs = []
+    for doc_id in (1, 16):  # a text counts whatever its id
+        lowered = attention_lm._lowered(docs(spark, ["alpha beta gamma alpha"], doc_id), F.lit(False))
+        coded = attention_lm.encoded(lowered, PATH, public_tokenizers.PATTERN)
+        outs.append(attention_lm.train(coded, attention_lm.word_counts(lowered), PATH, public_tokenizers.PATTERN).out)
+    assert (outs[0] == outs[1]).all()
+
+
 def test_preferences(spark):
     rows = [
         (1, "chosen", 0, "user", "q"), (1, "chosen", 1, "assistant", "good"), (1, "rejected", 0, "user", "q"), (1, "rejected", 1, "assistant", "bad one"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions.text import expand_tag, name_list
 from lexigraph.operators.lexicon import Lexicon
+from lexigraph.plans.storage import stored
 
 
 def named(rows: DataFrame, lexicon: Lexicon, unknown_tag: str = "ign") -> DataFrame:
@@ -45,29 +46,43 @@ def with_expanded_tags(rows: DataFrame, expand_dot: bool = True, expand_undersco
     return rows.select(*[c for c in rows.columns if c != "tag"], each)
 
 
-def all_paths(rows: DataFrame, id_col: str = "doc_id", most: int = 64) -> DataFrame:
-    """(id, path): every way through the graph of an id from node 0, as arrays of (ord, orth, lemma, tag).
+def _runs(edges: DataFrame, id_col: str) -> DataFrame:
+    """(id, start_node, end_node, items): edges that can only follow one another are one."""
+    line = Window.partitionBy(id_col).orderBy("start_node", "item", "end_node")
+    count = F.count(F.lit(1))
+    degrees = edges.withColumn("out", count.over(Window.partitionBy(id_col, "start_node"))).withColumn("into", count.over(Window.partitionBy(id_col, "end_node")))
+    follows = (F.lag("end_node").over(line) == F.col("start_node")) & (F.lag("into").over(line) == 1) & (F.col("out") == 1) & (F.col("start_node") != 0)
+    marked = degrees.withColumn("first", F.when(follows, 0).otherwise(1))
+    numbered = marked.withColumn("run", F.sum("first").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    row = F.struct("start_node", "end_node", "item")
+    runs = numbered.groupBy(id_col, "run").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    return runs.select(id_col, F.col("r")[0]["start_node"].alias("start_node"), F.element_at("r", -1)["end_node"].alias("end_node"), F.transform("r", lambda x: x["item"]).alias("items"))
 
-    A graph without an edge from node 0 has one empty path.  ``most`` bounds the
-    number of edges of a path, as a guard against graphs that are not acyclic.
+
+def all_paths(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, path): every way through the graph of an id from node 0, as arrays of (word_idx, ord, orth, lemma, tag).
+
+    A graph without an edge from node 0 has one empty path.  Runs of edges
+    without a choice are one step, so a linear text takes two steps whatever its
+    length.  The open paths are written after each step; a cycle raises ValueError.
     """
     item = F.struct("word_idx", "ord", "orth", "lemma", "tag")
-    edges = rows.select(id_col, "start_node", "end_node", item.alias("item"))
-    ids = rows.select(id_col).distinct()
-    empty = F.array().cast(edges.select(F.array("item").alias("a")).schema["a"].dataType)
-    open_ = ids.select(id_col, F.lit(0).alias("node"), empty.alias("path"))
-    leaves = edges.select(id_col, F.col("start_node").alias("node")).distinct()
-    done = []
-    for _ in range(most):
-        ends = open_.join(leaves, [id_col, "node"], "left_anti")
-        done.append(ends.select(id_col, "path"))
-        step = open_.join(edges, (open_[id_col] == edges[id_col]) & (open_["node"] == edges["start_node"]))
-        open_ = step.select(open_[id_col], F.col("end_node").alias("node"), F.concat("path", F.array("item")).alias("path"))
-        if open_.isEmpty():
-            break
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionAll(more)
+    edges = stored(_runs(rows.select(id_col, "start_node", "end_node", item.alias("item")), id_col), "runs")
+    most = edges.groupBy(id_col).agg(F.countDistinct("start_node").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    empty = F.array().cast(edges.schema["items"].dataType)
+    open_ = rows.select(id_col).distinct().select(id_col, F.lit(0).alias("node"), empty.alias("path"))
+    next_ = edges.select(F.col(id_col).alias("own"), "start_node", "end_node", "items")
+    out = None
+    step = 0
+    while out is None or not open_.isEmpty():
+        if step > most:  # a path of more steps than nodes came to one of them again
+            raise ValueError("the graph has a cycle")
+        met = open_.join(next_, (F.col(id_col) == F.col("own")) & (F.col("node") == F.col("start_node")), "left")
+        met = stored(met.select(id_col, "end_node", F.when(F.col("items").isNull(), F.col("path")).otherwise(F.concat("path", "items")).alias("path")), "open-paths")
+        ended = met.where("end_node is null").select(id_col, "path")
+        out = ended if out is None else out.unionAll(ended)
+        open_ = met.where("end_node is not null").select(id_col, F.col("end_node").alias("node"), "path")
+        step += 1
     return out
 
 

@@ -7,7 +7,7 @@ shorter and a tag by length.  Rules accept a word, a mark, or a word and a mark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.config import Charset, Config, TokenNumbering, WhitespaceHandling
@@ -255,15 +255,11 @@ def dimension_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("graph_paths", f"WITH {_rows_sql('benchmark', 'item_id')} SELECT item_id, count(*)::BIGINT AS edges, string_agg(orth, ' ' ORDER BY word_idx, ord) AS orths FROM rows GROUP BY item_id")
 def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ways through the graph of a word's readings, joined per item (words are linear here, so one each)."""
+    """Ways through the graph of a whole item (texts are linear here, so one each)."""
     lexicon, items = analyzer(spark, sf_dir), _table(spark, sf_dir, "benchmark")
     rows = pr.named(an.analyze(items, lexicon, id_col="item_id"), lexicon)
-    word = F.struct("item_id", "word_idx").alias("unit")
-    least = F.min("start_node").over(Window.partitionBy("item_id", "word_idx"))
-    local = rows.withColumn("low", least).select(word, "word_idx", "ord", (F.col("start_node") - F.col("low")).alias("start_node"), (F.col("end_node") - F.col("low")).alias("end_node"), "orth", "lemma", "tag")
-    paths = pr.all_paths(stored(local, "edges"), "unit")
-    each = paths.select("unit.item_id", F.explode("path").alias("x")).select("item_id", F.struct("x.word_idx", "x.ord", "x.orth").alias("x"))
-    return each.groupBy("item_id").agg(F.count(F.lit(1)).alias("edges"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["orth"]), " ").alias("orths"))
+    paths = pr.all_paths(stored(rows, "edges"), "item_id")
+    return paths.select("item_id", F.size("path").cast("long").alias("edges"), F.array_join(F.transform("path", lambda x: x["orth"]), " ").alias("orths"))
 
 
 @register("json_responses", f"""WITH {_rows_sql('benchmark', 'item_id')}

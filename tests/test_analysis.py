@@ -82,3 +82,20 @@ def test_tag_expansion_and_paths(spark, lexicon):
     )
     paths = {tuple(x["orth"] for x in r["path"]) for r in pr.all_paths(rows).collect()}
     assert paths == {("xy",), ("x", "y")}
+
+
+EDGES = "doc_id bigint, word_idx int, ord int, start_node int, end_node int, orth string, lemma string, tag string"
+
+
+def test_long_paths(spark):
+    edge = lambda doc, i, low, high: (doc, i, 0, low, high, f"{low}-{high}", "x", "t")
+    linear = [edge(1, i, i, i + 1) for i in range(200)]
+    forks = [edge(2, i, i, i + 1) for i in range(100)] + [edge(2, 100, 3, 5), edge(2, 101, 70, 100)]
+    elsewhere = [edge(3, 0, 4, 5)]
+    got = pr.all_paths(spark.createDataFrame(linear + forks + elsewhere, EDGES)).collect()
+    ways = {k: sorted([x["orth"] for x in r["path"]] for r in got if r["doc_id"] == k) for k in (1, 2, 3)}
+    assert ways[1] == [[f"{i}-{i + 1}" for i in range(200)]] and ways[3] == [[]]
+    assert sorted(map(len, ways[2])) == [70, 71, 99, 100] and all(w[0] == "0-1" and w[-1].endswith("-100") for w in ways[2])
+    for cycle in ([edge(1, 0, 0, 1), edge(1, 1, 1, 0)], [edge(1, 0, 0, 1), edge(1, 1, 1, 2), edge(1, 2, 2, 1)]):
+        with pytest.raises(ValueError, match="cycle"):
+            pr.all_paths(spark.createDataFrame(cycle, EDGES))

@@ -76,6 +76,13 @@ def test_decontamination_wherever_the_edits_are(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(len(items))}
 
 
+def test_decontamination_after_a_quote_at_the_begin():
+    item = [f"w{i}" for i in range(200)]
+    for quoted, between in ((10, 60), (12, 75), (30, 40)):
+        text = " ".join(item[:quoted] + [f"z{i}" for i in range(between)] + item)
+        assert decontaminate.Index([(7, " ".join(item))]).find([text]) == [(0, 7, 0, quoted + between + 200)]
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "u3", "aa"), (1, "u1", "bb"), (2, "u2", "aa"), (5, None, None), (4, "u4", ""), (7, "u7", "aa"), (7, "u7", "aa"), (None, "x", "y")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")

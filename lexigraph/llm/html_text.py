@@ -157,6 +157,13 @@ class _Lines(HTMLParser):
         if not self._noise:
             self._text.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section of an unknown kind is a bogus comment: it ends at its next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def end(self) -> None:
         self.close()
         self._flush()

@@ -111,6 +111,11 @@ def test_html(spark):
     assert got[2] == got[3] == ("", 0) and got[5][0] == " ".join("a" * 5000)
 
 
+def test_html_after_an_unknown_marked_section():
+    for section in ("<![vml]>", "<![ if IE ]>", "<![endif]>", "<![CDATA[x]]>", "<![1]>"):
+        assert html_text.main_text(f"<p>one line of text</p>{section}<p>two lines of text</p>") == "one line of text two lines of text"
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 8)))]

@@ -11,8 +11,9 @@ Queries are written in blocks to the shared folder; every task holds the
 candidates of its split and reads the blocks one after another, so neither side
 is broadcast or multiplied.  Each task sends k rows a query at most.
 
-Defined results: vectors that are null, or hold a null or non-finite component
-or one that leaves the range of 32-bit integers, take no part; vectors are
+Defined results: vectors that are null, or hold a null or non-finite component,
+take no part; a finite component that leaves the range of 32-bit integers raises,
+as its scores do not fit; vectors are
 compared with those of equal length alone; ties go to the smaller id, and rows
 that repeat an id are each a candidate; a query is never its own answer (no row
 with its id is); with fewer than k candidates all are returned.
@@ -127,8 +128,9 @@ def _matrices(ids: np.ndarray, vectors: pa.Array) -> dict[int, tuple[np.ndarray,
 
 def integers(vectors: DataFrame, factor: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v): floor(factor * x) of the vectors that take part."""
-    v = F.transform(F.col(f"`{vector_col}`"), lambda x: F.floor(x.cast("double") * F.lit(factor)))
-    fit = F.forall(F.col(f"`{vector_col}`"), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) <= F.lit(_LIMIT / factor)))
+    wide = F.raise_error(F.lit(f"a component of {vector_col} leaves the range of 32-bit integers")).cast("bigint")
+    v = F.transform(F.col(f"`{vector_col}`"), lambda x: F.when(F.abs(x.cast("double")) <= F.lit(_LIMIT / factor), F.floor(x.cast("double") * F.lit(factor))).otherwise(wide))
+    fit = F.forall(F.col(f"`{vector_col}`"), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     ok = F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vector_col}`").isNotNull() & fit
     return vectors.where(ok).select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), v.cast("array<bigint>").alias("v"))
 

@@ -131,6 +131,14 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_drops_no_large_vector(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e9, 0.0]), (2, [float("inf"), 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="leaves the range"):
+        topk.integers(vectors).collect()
+    assert topk.integers(vectors.where("vec_id <> 1")).count() == 1
+
+
 def test_quality(spark):
     good = ["The quick fox went home, and the long road was quiet. It had rained." + f" Word{i} more." for i in range(30)]
     bad = [f"BUY{i}!! NOW!! BUY{i}!! NOW!! $$$ ### " * 5 for i in range(30)]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.llm import ragged
 from lexigraph.llm.bpe import loaded
-from lexigraph.llm.common import ascii_lower, small_batches, stored
+from lexigraph.llm.common import ascii_lower, pieces, stored
 
 #: Rows of the input tables (the most frequent ids have their own), classes, width, window, least context.
 ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 64, 16, 24, 6
@@ -331,7 +331,7 @@ def encoded(lowered: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, starts = coder.documents([split(t) for t in batch.column(2).to_pylist()])
             raw = ids.astype(kind)
             cuts = (starts * raw.itemsize).astype(np.int32)
@@ -354,7 +354,7 @@ def train(coded: DataFrame, counts: DataFrame, path: str, pattern: str) -> Weigh
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, pattern)
         total = np.zeros(coder.end + 1)
-        for batch in batches:
+        for batch in pieces(batches):
             words, c = batch.column(0).to_pylist(), np.asarray(batch.column(1)).astype(np.float64)
             ends = np.array([w == "\n" for w in words], dtype=bool)
             total[coder.end] += c[ends].sum()
@@ -364,19 +364,17 @@ def train(coded: DataFrame, counts: DataFrame, path: str, pattern: str) -> Weigh
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
     kind = _id_type(path, pattern)
-    small_batches(coded.sparkSession, 20_000)
     end = len(loaded(path, pattern)._tokens)
     size = end + 1
     found = counts.mapInArrow(unigrams, "id bigint, n double").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(size)
     n[found["id"].to_numpy(dtype=np.int64)] = found["n"]
     row = _rows(n)
-    small_batches(coded.sparkSession)
     texts = coded.where("not held_out").select("ids")
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ROWS * ROWS, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             if not batch.num_rows:
                 continue
             ids, starts = _unpacked(batch.column(0), kind)
@@ -420,7 +418,6 @@ def score(documents: DataFrame, held_out: Column, path: str, pattern: str) -> Da
     counts = stored(word_counts(lowered), "lm-words")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(sums["n"]), int(sums["v"])
-    small_batches(spark)
     coded = stored(encoded(lowered, path, pattern), "lm-ids")
     weights = train(coded, counts, path, pattern)
     kind = _id_type(path, pattern)
@@ -432,11 +429,10 @@ def score(documents: DataFrame, held_out: Column, path: str, pattern: str) -> Da
         found = counts.where(F.col("word") == "\n").first()
         ends = int(found["c"]) if found else 0
     shared = spark.sparkContext.broadcast((weights, {w: math.log10(c + 1) for w, c in known.items()}))
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value[1]
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [split(t) for t in batch.column(2).to_pylist()]
             key = batch.column(0)
             word, owner, times, base, hits = [], [], [], [], []
@@ -471,7 +467,7 @@ def score(documents: DataFrame, held_out: Column, path: str, pattern: str) -> Da
 
     def model_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value[0]
-        for batch in batches:
+        for batch in pieces(batches):
             if batch.num_rows:
                 ids, starts = _unpacked(batch.column(1), kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log_probabilities(model, ids, starts) / math.log(10))], names=["doc_id", "score"])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from lexigraph.llm import ragged
-from lexigraph.llm.common import small_batches
+from lexigraph.llm.common import pieces
 
 _NONE = np.int32(2**31 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -287,7 +287,6 @@ def encode(df: DataFrame, text_col: str, path: str, pattern: str, ids_col: str =
 
     The text column is replaced by the outputs; other columns pass through.
     """
-    small_batches(df.sparkSession)
     outputs = {ids_col, bytes_col}
     carried = [c for c in df.columns if c != text_col and c not in outputs]
     source = df.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
@@ -298,7 +297,7 @@ def encode(df: DataFrame, text_col: str, path: str, pattern: str, ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             if not batch.num_rows:
                 continue
             ids, ends = bpe.encode_batch(batch.column(len(carried)).to_pylist())
@@ -316,14 +315,13 @@ def encode(df: DataFrame, text_col: str, path: str, pattern: str, ids_col: str =
 
 def decode(df: DataFrame, ids_col: str, path: str, pattern: str, bytes_col: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for; null ids count as none."""
-    small_batches(df.sparkSession)
     carried = [c for c in df.columns if c not in (ids_col, bytes_col)]
     source = df.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>")).alias("__ids"))
     fields = [f for f in source.schema.fields if f.name != "__ids"] + [StructField(bytes_col, BinaryType(), False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = batch.column(len(carried))
             lengths = np.asarray(rows.value_lengths().fill_null(0)).astype(np.int64)
             raw, cuts = bpe.decode_batch(np.asarray(rows.flatten()).astype(np.int64), ragged.offsets(lengths))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Rows in an Arrow batch. Texts may be long, so batches are kept short in rows.
+#: Rows of an Arrow batch that are worked on at a time; Spark bounds the bytes of a batch.
 ARROW_ROWS = 256
 
 
@@ -21,31 +24,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is absent (tests, a single machine) a temporary
-    folder is made and used for the life of the session.
+    Only on a single machine may that setting be absent; a temporary folder is then made
+    for the life of the session.  On a cluster its absence is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = context.getCheckpointDir()
-    if not named:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Actions inside run with the setting, which is put back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+#: Actions give their shuffle files back when they end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what a Python worker holds of one Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    with setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table_ in tables:
+        jvm = table_.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table_.stored_at)
+        path.getFileSystem(table_.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows (without copies), which bounds what is worked out at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def crc_bucket(column: str, modulus: int):

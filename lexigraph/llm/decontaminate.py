@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraph.llm.common import small_batches
+from lexigraph.llm.common import pieces
 
 #: Largest share of an item's words that may be edited.
 SHARE = 0.15
@@ -181,14 +181,13 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def contaminated(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, distance, end_word) of every item that is found in a document."""
-    small_batches(documents.sparkSession)
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     out = None
     for block in blocks(items):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = Index(block, share)
-            for batch in batches:
+            for batch in pieces(batches):
                 hits = index.find(batch.column(1).to_pylist())
                 if hits:
                     ids = batch.column(0).to_pylist()
@@ -204,7 +203,6 @@ def contaminated(documents: DataFrame, items: DataFrame, share: float = SHARE) -
 
 def without_items(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents in which no item is found, with their own columns; rows with a null doc_id stay."""
-    small_batches(documents.sparkSession)
     columns = list(documents.columns)
     at = columns.index("text")
     kept = documents.select(*[F.col(f"`{c}`") for c in columns])
@@ -212,7 +210,7 @@ def without_items(documents: DataFrame, items: DataFrame, share: float = SHARE)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = Index(block, share)
-            for batch in batches:
+            for batch in pieces(batches):
                 hit = {h[0] for h in index.find(batch.column(at).to_pylist())}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lexigraph.llm.common import small_batches
+from lexigraph.llm.common import pieces
 
 RADIUS = 3
 SIGMA = 1.5
@@ -207,13 +207,12 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """All columns but the html, with the text and its length in code points (``n_chars``)."""
-    small_batches(pages.sparkSession)
     carried = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]
     source = pages.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{html_col}`").cast("string").alias("__html"))
     fields = [*source.schema.fields[:-1], StructField(text_col, StringType()), StructField("n_chars", LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [main_text(h) for h in batch.column(len(carried)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(carried))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

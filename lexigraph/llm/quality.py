@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexigraph.llm.common import small_batches
+from lexigraph.llm.common import pieces
 
 #: Labelled rows that training may use; the sample is taken by hash order.
 TRAIN_ROWS = 20_000
@@ -161,11 +161,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROW
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_out=None, cut: float = CUT) -> Model:
     """Fit on the bounded sample; only its feature vectors reach the driver."""
-    spark = documents.sparkSession
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = vectors(batch.column(1).to_pylist())
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2).cast(pa.int32())], names=["doc_id", "x", "quality"])
@@ -179,13 +177,12 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_
 
 def score(documents: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
     """Add the score to every row, as the last column; an equally named column is dropped."""
-    small_batches(documents.sparkSession)
     carried = [c for c in documents.columns if c != score_col]
     source = documents.select(*[F.col(f"`{c}`") for c in carried])
     at = carried.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             s = model.score(vectors(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*carried, score_col])
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lexigraph.llm import ragged
-from lexigraph.llm.common import bit_filter, small_batches, stored
+from lexigraph.llm.common import bit_filter, pieces, stored
 
 LENGTH = 100
 GRAM = 28
@@ -124,7 +124,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(documents: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids = np.asarray(batch.column(0))
             data, ends = _bytes(batch.column(1))
             found = [anchors(data[a:b], length, gram) for a, b in zip(ends[:-1], ends[1:])]
@@ -151,7 +151,6 @@ def _anchor_rows(documents: DataFrame, length: int, gram: int) -> DataFrame:
 
 def repeated_windows(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, lo, hi): runs of starts of windows that also start earlier. Runs of a document may overlap."""
-    small_batches(documents.sparkSession)
     gram = min(gram, length)
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     rows = _anchor_rows(texts, length, gram)
@@ -172,7 +171,7 @@ def repeated_windows(documents: DataFrame, length: int = LENGTH, gram: int = GRA
     joined = texts.where(near(F.col("doc_id"))).join(lists, "doc_id").select("doc_id", "raw", F.col("runs.lo").alias("lo"), F.col("runs.hi").alias("hi"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             data, ends = _bytes(batch.column(1))
             ids = np.asarray(batch.column(0))
             for i in range(batch.num_rows):
@@ -210,7 +209,6 @@ def cut(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, whole_char
 
     With ``whole_characters`` a character that is only partly covered stays.
     """
-    small_batches(documents.sparkSession)
     names = list(documents.columns)
     key, raw, lo, hi = "__doc", "__raw", "__lo", "__hi"
     outputs = ["kept", "n_bytes", "n_removed", "n_spans"]
@@ -226,7 +224,7 @@ def cut(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, whole_char
     fields += [StructField("kept", BinaryType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             data, ends = _bytes(batch.column(n))
             kept, removed, spans = [], [], []
             for i in range(batch.num_rows):

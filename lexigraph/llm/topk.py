@@ -31,7 +31,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigraph.llm.common import shared_dir, small_batches
+from lexigraph.llm.common import shared_dir
 
 #: Pivots, and the vectors of the bounded sample (by hash order) from which they are chosen.
 PIVOTS = 24
@@ -138,7 +138,6 @@ def integers(vectors: DataFrame, factor: float = 256.0, id_col: str = "vec_id",
 def search(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``vec_id, v`` rows; ``is_query`` is a condition on vec_id."""
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
     norm = F.aggregate("v", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
     largest = {int(r["n"]): float(r["m"]) for r in vectors.groupBy(F.size("v").alias("n")).agg(F.max(norm).alias("m")).collect()}
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()

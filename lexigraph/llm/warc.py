@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm.common import long_array, small_batches
+from lexigraph.llm.common import long_array, pieces
 
 #: Bytes of payload in a part, and compressed bytes at which a file is rolled.
 PART_BYTES = 256 << 20
@@ -132,7 +132,6 @@ def _parts(sizes: DataFrame, part_bytes: int):
 def write(pages: DataFrame, root: str, part_bytes: int = PART_BYTES, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES) -> list[dict]:
     """Write ``page_id, url, html`` under ``root``; the manifest's entries."""
     spark = pages.sparkSession
-    small_batches(spark)
     fs, path = pafs.FileSystem.from_uri(root)
     fs.create_dir(path, recursive=True)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
@@ -153,7 +152,7 @@ def write(pages: DataFrame, root: str, part_bytes: int = PART_BYTES, roll_bytes:
         files = _Files(root, roll_bytes)
         note: tuple[int, int] | None = None
         done: list[dict] = []
-        for batch in batches:
+        for batch in pieces(batches):
             for row in batch.to_pylist():
                 if row["kind"] == 0:
                     note = (row["page_id"], row["first"])
@@ -232,7 +231,7 @@ def read(spark: SparkSession, root: str, payloads: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(root)
-        for batch in batches:
+        for batch in pieces(batches):
             for name in batch.column(0).to_pylist():
                 held, size = [], 0
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:

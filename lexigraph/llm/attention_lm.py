@@ -3,78 +3,58 @@
 A text is its words (A-Z in lower case, split at ASCII white space) and one
 end.  Every word is encoded by a byte-level vocabulary, so a text is a row of
 ids that starts and ends with an end mark.  An id's probability is that of its
-class given the ids before, times its share of the class after the last id, from bigram
-counts of all training text.  The class logits are a table by the last id (from
-the same counts) plus one causal attention layer over the last ids, whose weights numpy
-trains by gradient descent: every task starts from the same weights and makes
-one pass over all windows of its documents, and the weighted mean of the results is
-the model.  Scoring cuts a text into overlapping windows in which every id is
-scored once, with a stated least context, by batched masked attention.
+class given the ids before, times its share of the class after the last id, from
+bigram counts of all training text.  The class logits are a table by the last id
+(from the same counts) plus one causal attention layer over the last ids.  The
+layer works on embeddings of ids, which are the leading singular vectors of the
+bigram counts; its query, key, value and output weights and its bias by distance
+are trained in numpy by gradient descent.  Every task starts from the same
+weights and makes one pass over all ids of its documents, and the weighted mean
+of the results is the model; so the weights depend on how rows are parted.
+Scoring cuts a text into overlapping windows in which every id is scored once,
+with a stated least context, by batched masked attention.
 
 The unigram base is computed beside it: exact word counts over all training
 text, joined to the words of every document; words above a share of all tokens
-(a bounded number of them) are looked up in the task instead of shuffled.
+(a bounded number of them) are looked up in the task instead of shuffled.  Words
+are known by 96 bits of a 128-bit hash.
 
 Defined results: a null or empty text is the end alone; equal texts have equal
-scores; with no training text at all every id is equally likely.  Rows with a
-null doc_id belong to the training part; other columns are not used.
+scores; with no training text at all every id is equally likely.  Every row has
+a row of its own in the result, also rows that repeat a doc_id or have none.
+Rows with a null doc_id belong to the training part; other columns are not used.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.llm import ragged
 from lexigraph.llm.bpe import loaded
-from lexigraph.llm.common import ascii_lower, pieces, stored
+from lexigraph.llm.common import ascii_lower, discard, pieces, stored
 
 #: Rows of the input tables (the most frequent ids have their own), classes, width, window, least context.
 ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 64, 16, 24, 6
-#: Windows of a step, and its rate.
-BATCH, RATE = 32, 0.03
-#: Weight of the unigram share in the share of a row after another.
-BACKOFF = 5.0
+#: Windows of a training step, its rate, and windows scored at a time.
+BATCH, RATE, SCORED = 64, 0.01, 128
+#: Taken from the count of every pair of rows, and the least weight of a row's share of its class beside such counts.
+DISCOUNT, BACKOFF = 0.75, 1.0
 #: A word at least this share of all training tokens is looked up in memory: at most its inverse many words.
 FREQUENT = 1 / 400_000
-#: Longest word, in characters, that is kept in memory.
-_LONG_WORD = 64
+#: Words whose ids a worker keeps; beyond, it starts anew.
+_CACHE_WORDS = 400_000
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
-class Coder:
-    """Words to ids: a text is encoded with one blank before each of its words."""
-
-    def __init__(self, path: str, pattern: str):
-        self.bpe = loaded(path, pattern)
-        self.end = len(self.bpe._tokens)
-
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, number of ids of each word)."""
-        ids, ends = self.bpe.encode_batch([" " + w for w in words])
-        return ids, np.diff(ends)
-
-    def documents(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets): an end mark, the ids of the words, an end mark."""
-        flat, ends = self.bpe.encode_batch([" " + " ".join(row) if row else "" for row in rows])
-        lengths = np.diff(ends) + 2
-        starts = ragged.offsets(lengths)
-        out = np.full(starts[-1], self.end, dtype=np.int32)
-        inner = np.ones(len(out), dtype=bool)
-        inner[starts[:-1]] = False
-        inner[starts[1:] - 1] = False
-        out[inner] = flat
-        return out, starts
-
-
 #: What str.split() takes for white space beyond the ASCII blanks.
 _ODD = "".join(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \t\n\x0b\x0c\r")
 
@@ -88,6 +68,75 @@ def split(text: str | None) -> list[str]:
     return text.split()
 
 
+class Words:
+    """Words by slot, with their ids and hashes; kept by a worker from task to task."""
+
+    def __init__(self, path: str, pattern: str):
+        self.bpe = loaded(path, pattern)
+        self.end = len(self.bpe._tokens)
+        self.reset()
+
+    def reset(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.flat = np.zeros(0, np.int32)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+        self.hashes = np.zeros((0, 2), np.int64)
+
+    def full(self) -> bool:
+        return len(self.slot) > _CACHE_WORDS
+
+    def slots(self, rows: list[list[str]], encode: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(slot of every word, number of words of each row)."""
+        slot = self.slot
+        fresh = list(dict.fromkeys(w for row in rows for w in row if w not in slot)) if not slot else list(set().union(*rows).difference(slot))
+        if fresh:
+            base = len(slot)
+            slot.update(zip(fresh, range(base, base + len(fresh))))
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in fresh), dtype=">i8").reshape(-1, 2).astype(np.int64)
+            digests[:, 1] &= 0x7FFFFFFF
+            self.hashes = np.concatenate([self.hashes, digests])
+            if encode:
+                ids, ends = self.bpe.encode_batch([" " + w for w in fresh])
+                self.starts = np.concatenate([self.starts, ends[:-1] + len(self.flat)])
+                self.lengths = np.concatenate([self.lengths, np.diff(ends)])
+                self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        counts = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        each = np.fromiter((slot[w] for row in rows for w in row), dtype=np.int64, count=int(counts.sum()))
+        return each, counts
+
+    def documents(self, each: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): an end mark, the ids of the words, an end mark."""
+        sizes = self.lengths[each]
+        inner = ragged.gather(self.flat, self.starts[each], sizes)
+        upto = ragged.offsets(sizes)[ragged.offsets(counts)]
+        starts = ragged.offsets(np.diff(upto) + 2)
+        out = np.full(starts[-1], self.end, dtype=np.int32)
+        inside = np.ones(len(out), dtype=bool)
+        inside[starts[:-1]] = False
+        inside[starts[1:] - 1] = False
+        out[inside] = inner
+        return out, starts
+
+
+_KEPT: dict[tuple, Words] = {}
+
+
+def kept_words(path: str, pattern: str, encode: bool) -> Words:
+    key = (path, pattern, encode)
+    if key not in _KEPT:
+        _KEPT.clear()  # one cache at a time
+        _KEPT[key] = Words(path, pattern)
+    if _KEPT[key].full():
+        _KEPT[key].reset()
+    return _KEPT[key]
+
+
+_GAPS = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+_PAST = (_GAPS >= 0).astype(np.float32)
+_HIGH = np.float32(60.0)
+
+
 @dataclass
 class Weights:
     """Everything that scoring needs; arrays of a size that does not depend on the corpus."""
@@ -96,26 +145,31 @@ class Weights:
     group: np.ndarray  # id -> class
     inner: np.ndarray  # id -> ln share within its row
     follow: np.ndarray  # [row before, row] ln share of the row within its class
-    bigram: np.ndarray  # [row, class] ln probability
+    bigram: np.ndarray  # [row, class] probability
+    embedding: np.ndarray  # [row, WIDTH]
     query: np.ndarray
     key: np.ndarray
     value: np.ndarray
     out: np.ndarray
-    bias: np.ndarray
-    tame: bool = False  # no sum in it can reach the range where exp overflows
-
-    def tamed(self) -> "Weights":
-        length = [float(np.sqrt((t.astype(np.float64) ** 2).sum(axis=1).max())) for t in (self.query, self.key, self.value)]
-        scores = length[0] * length[1] / math.sqrt(WIDTH) + float(np.abs(self.bias).max())
-        logits = length[2] * float(np.sqrt((self.out.astype(np.float64) ** 2).sum(axis=0).max()))
-        self.tame = scores < float(_HIGH) and logits < float(_HIGH)
-        return self
+    bias: np.ndarray  # by distance
+    tables: tuple | None = field(default=None, repr=False)
 
     NAMES = ("query", "key", "value", "out", "bias")
 
     def trained(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
 
+    def prepared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(exp of scores by row pair, values by row, masked exp of the bias); made once in a worker."""
+        if self.tables is None:
+            scores = (self.embedding @ self.query) @ (self.embedding @ self.key).T * np.float32(1 / math.sqrt(WIDTH))
+            self.tables = (
+                np.exp(np.minimum(scores, _HIGH / 2)).ravel(),
+                (self.embedding @ self.value).astype(np.float32),
+                (np.exp(np.minimum(self.bias, _HIGH / 2))[np.maximum(_GAPS, 0)] * _PAST).astype(np.float32),
+            )
+        return self.tables
+
 
 def _rows(counts: np.ndarray) -> np.ndarray:
     """id -> row: the most frequent ids have their own, the others share the last quarter."""
@@ -126,14 +180,17 @@ def _rows(counts: np.ndarray) -> np.ndarray:
     return row.astype(np.int32)
 
 
-def _classes(bigrams: np.ndarray, seed: int = 5) -> np.ndarray:
-    """row -> class: k-means over what comes before and after a row."""
+def _spectrum(bigrams: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Leading singular vectors, scaled, of what comes before and after a row."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([bigrams, bigrams.T], axis=1).astype(np.float64)
     both = np.sqrt(both / np.maximum(1.0, both.sum(axis=1, keepdims=True)))
     u, s, _ = np.linalg.svd(both @ rng.normal(size=(both.shape[1], 64)) / 8.0, full_matrices=False)
-    x = u[:, :24] * s[:24]
-    mass = bigrams.sum(axis=0) + 1.0
+    return u[:, :24] * s[:24]
+
+
+def _classes(x: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """row -> class: k-means over the spectrum."""
     heavy = np.argsort(-mass, kind="stable")
     label = np.full(len(x), -1)
     alone = CLASSES // 4  # the most frequent rows are classes of their own
@@ -153,86 +210,77 @@ def _classes(bigrams: np.ndarray, seed: int = 5) -> np.ndarray:
 
 def assemble(counts: np.ndarray, row: np.ndarray, bigrams: np.ndarray, seed: int = 3) -> Weights:
     """Count tables and the common starting weights."""
-    label = _classes(bigrams)
+    x = _spectrum(bigrams)
+    label = _classes(x, bigrams.sum(axis=0) + 1.0)
     group = label[row].astype(np.int32)
-    smooth = counts + 1.0
+    smooth = counts + 0.02
     of_row = np.bincount(row, weights=smooth, minlength=ROWS)
-    inner = np.log(smooth) - np.log(of_row)[row]
+    inner = np.log(smooth) - np.log(np.maximum(of_row, 1e-9))[row]
     of_class = np.bincount(label, weights=of_row, minlength=CLASSES)
     share = of_row / of_class[label]
     member = np.zeros((ROWS, CLASSES))
     member[np.arange(ROWS), label] = 1.0
-    follow = np.log(bigrams + BACKOFF * share) - np.log(bigrams @ member + BACKOFF)[:, label]
+    # absolute discounting: what is taken from seen pairs goes to the class's shares
+    taken = DISCOUNT * ((bigrams > 0) @ member) + BACKOFF
+    follow = np.log(np.maximum(np.maximum(bigrams - DISCOUNT, 0.0) + taken[:, label] * share, 1e-12)) - np.log(bigrams @ member + BACKOFF)[:, label]
     table = np.zeros((ROWS, CLASSES))
     np.add.at(table.T, label, bigrams.T)
     prior = np.bincount(group, weights=smooth, minlength=CLASSES)
     prior = (prior + 1e-3) / (prior + 1e-3).sum()
     table = table + 20.0 * prior
-    bigram = np.log(table / table.sum(axis=1, keepdims=True))
+    embedding = x[:, :WIDTH] - x[:, :WIDTH].mean(axis=0)
+    embedding /= np.maximum(embedding.std(axis=0), 1e-6)
     rng = np.random.default_rng(seed)
-    d = WIDTH
-    f = np.float32
+    d, f = WIDTH, np.float32
     return Weights(
-        row, group, inner, follow.astype(f), bigram.astype(f), rng.normal(0, 0.3, (ROWS, d)).astype(f), rng.normal(0, 0.3, (ROWS, d)).astype(f), rng.normal(0, 0.5, (ROWS, d)).astype(f),
+        row, group, inner, follow.astype(f), (table / table.sum(axis=1, keepdims=True)).astype(f), np.clip(embedding, -4, 4).astype(f),
+        rng.normal(0, 0.3, (d, d)).astype(f), rng.normal(0, 0.3, (d, d)).astype(f), rng.normal(0, 0.3, (d, d)).astype(f),
         np.zeros((d, CLASSES), f), (-0.02 * np.arange(WINDOW)).astype(f),
-    )
-
-
-_GAPS = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-_PAST = (_GAPS >= 0).astype(np.float32)
-_ONES = np.ones((WINDOW, 1), dtype=np.float32)
-_HIGH = np.float32(60.0)
-
-
-def _attend(w: Weights, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Masked attention of windows [m, WINDOW]: (weights, mixed values, q, k, v)."""
-    q, k, v = w.query[rows], w.key[rows], w.value[rows]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= np.float32(1 / math.sqrt(WIDTH))
-    s += w.bias[np.maximum(_GAPS, 0)]
-    if not w.tame:
-        np.minimum(s, _HIGH, out=s)  # so that exp stays finite without a pass for the maximum
-    np.exp(s, out=s)
-    s *= _PAST
-    s /= np.matmul(s, _ONES)
-    return s, np.matmul(s, v), q, k, v
+    )
 
 
-def windows(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(starts: np.ndarray, lengths: np.ndarray, step: int = WINDOW - CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows with ``lengths`` inputs: (row, start, size, first scored place) of every window."""
-    step = WINDOW - CONTEXT
     count = np.where(lengths <= WINDOW, 1, 1 + -(-(lengths - WINDOW) // step))
     count = np.where(lengths <= 0, 0, count)
     owner = np.repeat(np.arange(len(lengths)), count)
     number = np.arange(len(owner)) - np.repeat(ragged.offsets(count)[:-1], count)
     begin = number * step
     size = np.minimum(WINDOW, lengths[owner] - begin)
-    return owner, starts[owner] + begin, size, np.where(number == 0, 0, CONTEXT)
+    return owner, starts[owner] + begin, size, np.where(number == 0, 0, WINDOW - step)
 
 
 def log_probabilities(w: Weights, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """ln probability of each row of ids that begins and ends with the end mark."""
+    scores, values, near = w.prepared()
     lengths = np.diff(starts) - 1
     owner, begin, size, first = windows(starts[:-1], lengths)
     total = np.zeros(len(lengths))
-    padded = np.concatenate([ids, np.full(WINDOW + 1, ids[0] if len(ids) else 0, dtype=ids.dtype)])
-    place = np.arange(WINDOW)
-    for low in range(0, len(owner), 96):
-        part = slice(low, low + 96)
-        at = begin[part][:, None] + place
-        rows = w.row[padded[at]]
-        _, mixed, *_ = _attend(w, rows, size[part])
-        scored = (place >= first[part][:, None]) & (place < size[part][:, None])
-        target = padded[at + 1][scored]
-        logits = mixed[scored] @ w.out
-        logits += w.bigram[rows[scored]]
-        if not w.tame:
-            np.minimum(logits, _HIGH, out=logits)
-        group = w.group[target]
-        picked = logits[np.arange(len(target)), group]
-        np.exp(logits, out=logits)
-        logp = picked.astype(np.float64) - np.log((logits @ np.ones(CLASSES, np.float32)).astype(np.float64)) + w.follow[rows[scored], w.row[target]] + w.inner[target]
-        total += np.bincount(np.repeat(owner[part], scored.sum(axis=1)), weights=logp, minlength=len(total))
+    padded = np.concatenate([ids, np.zeros(WINDOW + 1, dtype=ids.dtype)])
+    own = w.row[padded]
+    ones = np.ones(CLASSES, np.float32)
+    for head in (0, CONTEXT):  # the first windows of texts, and the others, whose first places are context alone
+        those = np.flatnonzero(first == head)
+        place = np.arange(head, WINDOW)
+        bias = near[head:]
+        for low in range(0, len(those), SCORED):
+            some = those[low : low + SCORED]
+            at = begin[some][:, None] + np.arange(WINDOW)
+            rows = own[at]
+            s = scores.take((rows[:, head:, None] * np.int32(ROWS)) + rows[:, None, :])
+            s *= bias
+            mixed = np.matmul(s, values[rows])
+            mixed /= s.sum(axis=2)[:, :, None]
+            p = mixed.reshape(-1, WIDTH) @ w.out
+            np.minimum(p, _HIGH, out=p)
+            np.exp(p, out=p)
+            last = rows[:, head:].ravel()
+            p *= w.bigram[last]
+            target = padded[at[:, head:] + 1].ravel()
+            picked = p[np.arange(len(p)), w.group[target]].astype(np.float64)
+            logp = np.log(picked / (p @ ones)) + w.follow[last, w.row[target]] + w.inner[target]
+            logp = np.where(place < size[some][:, None], logp.reshape(len(some), -1), 0.0).sum(axis=1)
+            total += np.bincount(owner[some], weights=logp, minlength=len(total))
     return total
 
 
@@ -243,56 +291,63 @@ class Trainer:
         self.w = w
         self.first = [np.zeros_like(p) for p in w.trained()]
         self.second = [np.zeros_like(p) for p in w.trained()]
+        self.log_bigram = np.log(w.bigram)
         self.steps = 0
         self.tokens = 0
 
     def step(self, rows: np.ndarray, size: np.ndarray, groups: np.ndarray) -> float:
         w = self.w
-        a, mixed, q, k, v = _attend(w, rows, size)
+        m, d, scale = len(rows), WIDTH, np.float32(1 / math.sqrt(WIDTH))
+        e = w.embedding[rows.ravel()]
+        q, k, v = ((e @ t).reshape(m, WINDOW, d) for t in (w.query, w.key, w.value))
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a *= scale
+        a += w.bias[np.maximum(_GAPS, 0)]
+        np.minimum(a, _HIGH, out=a)  # so that exp stays finite without a pass for the maximum
+        np.exp(a, out=a)
+        a *= _PAST
+        a /= a.sum(axis=2)[:, :, None]
+        mixed = np.matmul(a, v)
+        x = mixed.reshape(-1, d)
+        p = x @ w.out
+        p += self.log_bigram[rows.ravel()]
+        np.minimum(p, _HIGH, out=p)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1)[:, None]
+        n = int(size.sum())
+        line, target = np.arange(len(p)), groups.ravel()
         real = np.arange(WINDOW) < size[:, None]
-        x = mixed[real]
-        logits = x @ w.out + w.bigram[rows[real]]
-        p = np.exp(np.minimum(logits, _HIGH))
-        p /= p.sum(axis=1, keepdims=True)
-        target = groups[real]
-        n = len(target)
-        line = np.arange(n)
-        loss = float(-np.log(np.maximum(p[line, target], 1e-12)).mean())
+        loss = float(-np.log(np.maximum(p[line, target], 1e-12))[real.ravel()].mean())
         p[line, target] -= 1.0
-        p /= n
+        if n == real.size:
+            p *= np.float32(1 / n)
+        else:
+            p *= (real.ravel() * np.float32(1 / n)).astype(np.float32)[:, None]
         d_out = x.T @ p
-        d_mixed = np.zeros_like(mixed)
-        d_mixed[real] = p @ w.out.T
-        d_a = np.matmul(d_mixed, v.transpose(0, 2, 1))
+        d_x = p @ w.out.T
+        d_mixed = d_x.reshape(m, WINDOW, d)
         d_v = np.matmul(a.transpose(0, 2, 1), d_mixed)
-        d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True))
+        d_s = np.matmul(d_mixed, v.transpose(0, 2, 1))
+        d_s -= np.einsum("ij,ij->i", d_x, x).reshape(m, WINDOW, 1)
+        d_s *= a
         d_bias = np.bincount(np.maximum(_GAPS, 0).ravel(), weights=d_s.sum(axis=0).ravel(), minlength=WINDOW).astype(np.float32)
-        d_s *= np.float32(1 / math.sqrt(WIDTH))
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        touched, cuts = np.unique(flat[order], return_index=True)
-        grads = []
-        for g in (np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q), d_v):
-            table = np.zeros((ROWS, WIDTH), np.float32)
-            table[touched] = np.add.reduceat(g.reshape(-1, WIDTH)[order], cuts, axis=0)
-            grads.append(table)
+        d_s *= scale
+        grads = [e.T @ np.matmul(d_s, k).reshape(-1, d), e.T @ np.matmul(d_s.transpose(0, 2, 1), q).reshape(-1, d), e.T @ d_v.reshape(-1, d), d_out, d_bias]
         self.steps += 1
         self.tokens += n
         t = self.steps
-        for p_, g, m, s in zip(w.trained(), [*grads, d_out, d_bias], self.first, self.second):
-            m *= 0.9
-            m += 0.1 * g
-            s *= 0.99
-            s += 0.01 * g * g
-            p_ -= (RATE / (1 - 0.9**t)) * m / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+        for weight, g, mean, square in zip(w.trained(), grads, self.first, self.second):
+            mean += 0.1 * (g - mean)
+            square += 0.01 * (g * g - square)
+            weight -= (RATE / math.sqrt(1 + t / 200) / (1 - 0.9**t)) * mean / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
         return loss
 
-    def texts(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], end: int) -> None:
-        """One pass over every window of the texts, given as batches of (ids, offsets)."""
+    def texts(self, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+        """One pass over every id of the texts, given as batches of (ids, offsets)."""
         held = [(np.zeros((0, WINDOW), self.w.row.dtype), np.zeros(0, np.int64), np.zeros((0, WINDOW), self.w.group.dtype))]
         for ids, starts in batches:
-            _, begin, sizes, _ = windows(starts[:-1], np.diff(starts) - 1)
-            padded = np.concatenate([ids, np.full(WINDOW + 1, end, dtype=ids.dtype)])
+            _, begin, sizes, _ = windows(starts[:-1], np.diff(starts) - 1, WINDOW)
+            padded = np.concatenate([ids, np.zeros(WINDOW + 1, dtype=ids.dtype)])
             for low in range(0, len(begin), 4096):  # bounds what is gathered at a time
                 part = slice(low, low + 4096)
                 at = begin[part][:, None] + np.arange(WINDOW)
@@ -307,38 +362,57 @@ class Trainer:
             self.step(*held[0])
 
 
-def _lowered(documents: DataFrame, held_out: Column) -> DataFrame:
+def lowered(documents: DataFrame, held_out: Column) -> DataFrame:
+    """(doc_id, th, held_out, text): equal texts have an equal ``th``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     quick = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(ascii_lower(text))
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), quick.alias("text"))
-
-
-def word_counts(lowered: DataFrame) -> DataFrame:
-    """(word, c) over the training documents; the end mark is the word of one line feed."""
-    train = lowered.where("not held_out")
-    words = train.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    ends = train.select(F.lit("\n").alias("word"))
-    return words.union(ends).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), F.coalesce(held_out, F.lit(False)).alias("held_out"), quick.alias("text"))
 
 
 def _id_type(path: str, pattern: str) -> str:
     return "<u2" if len(loaded(path, pattern)._tokens) < 1 << 16 else "<u4"
 
 
-def encoded(lowered: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, held_out, ids) with the ids of the whole text as packed integers."""
+def encoded(texts: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Rows of texts (doc_id, th, held_out, ids as packed integers), and rows of words (h1, h2, c).
+
+    A word's rows give its occurrences in training texts, added up within a task.
+    """
     kind = _id_type(path, pattern)
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("h1", pa.int64()), ("h2", pa.int32()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path, pattern)
+        words = kept_words(path, pattern, True)
+        counts = np.zeros(len(words.slot), np.int64)
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(counts)
+            for low in range(0, len(at), 50_000):
+                some = at[low : low + 50_000]
+                n = len(some)
+                h = words.hashes[some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(h[:, 0]), pa.array(h[:, 1].astype(np.int32)), pa.array(counts[some])], schema=schema
+                )
+
         for batch in pieces(batches):
-            ids, starts = coder.documents([split(t) for t in batch.column(2).to_pylist()])
+            if words.full():
+                yield from counted()
+                words.reset()
+                counts = np.zeros(0, np.int64)
+            each, sizes = words.slots([split(t) for t in batch.column(3).to_pylist()])
+            training = np.repeat(~np.asarray(batch.column(2).to_numpy(zero_copy_only=False), dtype=bool), sizes)
+            new = np.bincount(each[training], minlength=len(words.slot))
+            new[: len(counts)] += counts
+            counts = new
+            ids, starts = words.documents(each, sizes)
             raw = ids.astype(kind)
-            cuts = (starts * raw.itemsize).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["doc_id", "held_out", "ids"])
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((starts * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], schema=schema)
+        yield from counted()
 
-    return lowered.mapInArrow(run, "doc_id bigint, held_out boolean, ids binary")
+    return texts.mapInArrow(run, "doc_id bigint, th bigint, held_out boolean, ids binary, h1 bigint, h2 int, c bigint")
 
 
 def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -348,151 +422,169 @@ def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return flat.astype(np.int32), (ends - ends[0]) // width
 
 
-def train(coded: DataFrame, counts: DataFrame, path: str, pattern: str) -> Weights:
-    """The model of the training documents; only tables of fixed size reach the driver."""
+def train(coded: DataFrame, path: str, pattern: str) -> Weights:
+    """The model of the training documents (doc_id, held_out, ids); only tables of fixed size reach the driver."""
+    kind = _id_type(path, pattern)
+    size = len(loaded(path, pattern)._tokens) + 1
+    texts = coded.where("not held_out").select("ids")
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path, pattern)
-        total = np.zeros(coder.end + 1)
+        total = np.zeros(size, np.int64)
         for batch in pieces(batches):
-            words, c = batch.column(0).to_pylist(), np.asarray(batch.column(1)).astype(np.float64)
-            ends = np.array([w == "\n" for w in words], dtype=bool)
-            total[coder.end] += c[ends].sum()
-            flat, sizes = coder.words([w for w in words if w != "\n"])
-            total += np.bincount(flat, weights=np.repeat(c[~ends], sizes), minlength=len(total))
+            ids, starts = _unpacked(batch.column(0), kind)
+            total += np.bincount(ids, minlength=size)
+            total[size - 1] -= batch.num_rows  # the mark at the begin is no outcome
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    kind = _id_type(path, pattern)
-    end = len(loaded(path, pattern)._tokens)
-    size = end + 1
-    found = counts.mapInArrow(unigrams, "id bigint, n double").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.mapInArrow(unigrams, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(size)
-    n[found["id"].to_numpy(dtype=np.int64)] = found["n"]
+    n[found["id"].to_numpy()] = found["n"].to_numpy()
     row = _rows(n)
-    texts = coded.where("not held_out").select("ids")
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ROWS * ROWS, dtype=np.int64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                total.__iadd__(np.bincount(np.concatenate(held), minlength=len(total)))
+                held.clear()
+
         for batch in pieces(batches):
-            if not batch.num_rows:
-                continue
             ids, starts = _unpacked(batch.column(0), kind)
-            r = row[ids].astype(np.int64)
-            cell = r[:-1] * ROWS + r[1:]
+            r = row[ids]
+            cell = r[:-1] * np.int32(ROWS) + r[1:]
             inside = np.ones(len(cell), dtype=bool)
             inside[starts[1:-1] - 1] = False
-            found_, n_ = np.unique(cell[inside], return_counts=True)
-            total[found_] += n_
+            held.append(cell[inside])
+            if sum(map(len, held)) > 1 << 21:
+                add()
+        add()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    pairs = texts.mapInArrow(bigrams, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    pairs = texts.mapInArrow(bigrams, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(ROWS * ROWS)
-    table[pairs["cell"].to_numpy(dtype=np.int64)] = pairs["n"]
+    table[pairs["cell"].to_numpy()] = pairs["n"].to_numpy()
     start = assemble(n, row, table.reshape(ROWS, ROWS))
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Weights(**{k: np.copy(getattr(start, k)) for k in start.__dataclass_fields__ if k != "tame"})
+        mine = Weights(**{k: np.copy(getattr(start, k)) if k in Weights.NAMES else getattr(start, k) for k in start.__dataclass_fields__ if k != "tables"})
         trainer = Trainer(mine)
-        trainer.texts((_unpacked(batch.column(0), kind) for batch in batches if batch.num_rows), end)
+        trainer.texts(_unpacked(batch.column(0), kind) for batch in pieces(batches))
         if trainer.tokens:
             flat = np.concatenate([p.ravel() for p in mine.trained()]).astype(np.float64) * trainer.tokens
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), float(trainer.tokens)))], names=["i", "s", "n"])
 
-    means = texts.mapInArrow(descend, "i int, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("p")).toPandas()
-    if len(means):
-        flat = means.sort_values("i")["p"].to_numpy()
+    means = texts.mapInArrow(descend, "i int, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("p")).toArrow()
+    if means.num_rows:
+        flat = np.zeros(means.num_rows)
+        flat[means["i"].to_numpy()] = means["p"].to_numpy()
         at = 0
         for name in Weights.NAMES:
             old = getattr(start, name)
             setattr(start, name, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
-    return start.tamed()
+    return start
+
+
+def _word_rows(texts: DataFrame, frequent, path: str, pattern: str) -> DataFrame:
+    """A row for every text, and for every word of it that is not frequent.
+
+    ``frequent`` is a broadcast of (sorted h1, h2, log10(c + 1)).
+    """
+    schema = pa.schema(
+        [("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("held_out", pa.bool_()), ("copies", pa.int64()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("hits", pa.int64()), ("base", pa.float64())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = kept_words(path, pattern, False)
+        h1, h2, logs = frequent.value
+        value = np.zeros(0)  # by slot; -1 for a word that is not frequent
+
+        for batch in pieces(batches):
+            if words.full():
+                words.reset()
+                value = np.zeros(0)
+            each, sizes = words.slots([split(t) for t in batch.column(3).to_pylist()], encode=False)
+            if len(value) < len(words.slot):
+                new = words.hashes[len(value) :]
+                at = np.searchsorted(h1, new[:, 0])
+                at[at == len(h1)] = 0
+                there = (h1[at] == new[:, 0]) & (h2[at] == new[:, 1]) if len(h1) else np.zeros(len(new), bool)
+                value = np.concatenate([value, np.where(there, logs[at] if len(h1) else 0.0, -1.0)])
+            m = batch.num_rows
+            owner = np.repeat(np.arange(m), sizes)
+            worth = value[each]
+            common = worth >= 0
+            base = np.bincount(owner[common], weights=worth[common], minlength=m)
+            hits = np.bincount(owner[common], minlength=m)
+            pairs, times = np.unique(owner[~common] * np.int64(len(words.slot)) + each[~common], return_counts=True)
+            whose, slot = np.divmod(pairs, max(1, len(words.slot)))
+            h = words.hashes[slot]
+            k = len(pairs)
+            keys, marks = batch.column(0), batch.column(1)
+            whose = pa.array(whose)
+            # the key of a text's own row is no word's: these rows spread over all partitions
+            yield pa.RecordBatch.from_arrays(
+                [marks, pa.array(np.full(m, -1, np.int32)), keys, marks, batch.column(2), pa.array(np.ones(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(sizes + 1), pa.array(hits), pa.array(base)], schema=schema
+            )
+            none = pa.array(np.zeros(k, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[:, 0]), pa.array(h[:, 1].astype(np.int32)), keys.take(whose), marks.take(whose), pa.nulls(k, pa.bool_()), none, pa.array(times), none, none, pa.array(np.zeros(k))], schema=schema
+            )
+
+    return texts.mapInArrow(run, "h1 bigint, h2 int, doc_id bigint, th bigint, held_out boolean, copies bigint, times bigint, n_tokens bigint, hits bigint, base double")
 
 
 def score(documents: DataFrame, held_out: Column, path: str, pattern: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = documents.sparkSession
-    lowered = _lowered(documents, held_out)
-    counts = stored(word_counts(lowered), "lm-words")
+    texts = lowered(documents, held_out)
+    first = stored(encoded(texts, path, pattern), "lm-ids")
+    coded = first.where("ids is not null").select("doc_id", "th", "held_out", "ids")
+    counts = stored(first.where("h1 is not null").groupBy("h1", "h2").agg(F.sum("c").alias("c")), "lm-words")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = int(sums["n"]), int(sums["v"])
-    coded = stored(encoded(lowered, path, pattern), "lm-ids")
-    weights = train(coded, counts, path, pattern)
+    ends = coded.where("not held_out").count()
+    n, v = int(sums["n"]) + ends, int(sums["v"]) + (1 if ends else 0)
+    weights = train(coded, path, pattern)
     kind = _id_type(path, pattern)
     least = max(2, math.ceil(n * FREQUENT))
-    # at most 1 / FREQUENT words, of bounded length
-    known = {r["word"]: r["c"] for r in counts.where((F.col("c") >= least) & (F.length("word") <= _LONG_WORD)).toLocalIterator()}
-    ends = known.pop("\n", None)
-    if ends is None:
-        found = counts.where(F.col("word") == "\n").first()
-        ends = int(found["c"]) if found else 0
-    shared = spark.sparkContext.broadcast((weights, {w: math.log10(c + 1) for w, c in known.items()}))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value[1]
-        for batch in pieces(batches):
-            rows = [split(t) for t in batch.column(2).to_pylist()]
-            key = batch.column(0)
-            word, owner, times, base, hits = [], [], [], [], []
-            for i, row in enumerate(rows):
-                total, hit = 0.0, 0
-                for w, c in Counter(row).items():
-                    value = frequent.get(w)
-                    if value is None:
-                        word.append(w)
-                        owner.append(i)
-                        times.append(c)
-                    else:
-                        total += c * value
-                        hit += c
-                base.append(total)
-                hits.append(hit)
-            m, k = len(rows), len(word)
-            # rows of a document have a key that is no word: they spread over all partitions
-            own = [f" {batch_key}" for batch_key in key.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(own + word, pa.string()),
-                    pa.concat_arrays([key, key.take(pa.array(owner, pa.int64()))]),
-                    pa.concat_arrays([batch.column(1), pa.nulls(k, pa.bool_())]),
-                    pa.array([0] * m + times, pa.int64()),
-                    pa.array([len(r) + 1 for r in rows] + [0] * k, pa.int64()),
-                    pa.array(hits + [0] * k, pa.int64()),
-                    pa.array(base + [0.0] * k, pa.float64()),
-                ],
-                names=["word", "doc_id", "held_out", "times", "n_tokens", "hits", "base"],
-            )
+    # at most 1 / FREQUENT words
+    known = counts.where(F.col("c") >= least).toArrow().sort_by([("h1", "ascending")])
+    frequent = spark.sparkContext.broadcast((known["h1"].to_numpy(), known["h2"].to_numpy(), np.log10(known["c"].to_numpy() + 1.0)))
+    model = spark.sparkContext.broadcast(weights)
 
     def model_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value[0]
         for batch in pieces(batches):
-            if batch.num_rows:
-                ids, starts = _unpacked(batch.column(1), kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log_probabilities(model, ids, starts) / math.log(10))], names=["doc_id", "score"])
+            ids, starts = _unpacked(batch.column(2), kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log_probabilities(model.value, ids, starts) / math.log(10))], names=["doc_id", "th", "score"])
 
-    parts = lowered.mapInArrow(run, "word string, doc_id bigint, held_out boolean, times bigint, n_tokens bigint, hits bigint, base double")
-    joined = parts.join(counts.where(F.col("c") < least).union(counts.where((F.col("c") >= least) & (F.length("word") > _LONG_WORD))), "word", "left")
+    joined = _word_rows(texts, frequent, path, pattern).join(counts.where(F.col("c") < least), ["h1", "h2"], "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    end = math.log10(ends + 1)
     based = joined.select(
-        "doc_id", "held_out", "n_tokens",
+        "doc_id", "th", "held_out", "copies", "n_tokens",
         (F.when(c > 0, F.col("times")).otherwise(0) + F.col("hits")).alias("hits"),
         (F.col("times") * F.log10(c + 1) + F.col("base")).alias("base"),
     )
-    scored = coded.select("doc_id", "ids").mapInArrow(model_scores, "doc_id bigint, score double")
-    return (
+    scored = coded.select("doc_id", "th", "ids").mapInArrow(model_scores, "doc_id bigint, th bigint, score double")
+    end = math.log10(ends + 1)
+    per = F.col("copies")
+    each = (
         based.unionByName(scored, allowMissingColumns=True)
-        .groupBy("doc_id")
-        .agg(*[F.max("held_out").alias("held_out")], *[F.sum(k).alias(k) for k in ("n_tokens", "hits", "base", "score")])
+        .groupBy("doc_id", "th")
+        .agg(F.max("held_out").alias("held_out"), *[F.sum(k).alias(k) for k in ("copies", "n_tokens", "hits", "base", "score")])
         .select(
             "doc_id",
             "held_out",
-            "n_tokens",
-            (F.col("hits") + (1 if ends else 0)).cast("bigint").alias("n_known"),
+            (F.col("n_tokens") / per).cast("bigint").alias("n_tokens"),
+            (F.col("hits") / per + (1 if ends else 0)).cast("bigint").alias("n_known"),
             F.lit(n).cast("bigint").alias("train_tokens"),
-            (F.col("base") + F.lit(end) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-            "score",
+            (F.col("base") / per + F.lit(end) - F.col("n_tokens") / per * F.lit(math.log10(n + v + 1))).alias("base_score"),
+            (F.col("score") / per).alias("score"),
+            "copies",
         )
     )
+    # rows that are equal in doc_id and text were added up
+    return each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copy", "copies")

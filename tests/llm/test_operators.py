@@ -215,7 +215,7 @@ def test_language_model(spark):
     assert len(seen) == len(set(seen)) == 105
 
 
-def test_language_model_trains_on_every_window(spark):
+def test_language_model_trains_on_every_id(spark):
     n = np.ones(3000)
     row = attention_lm._rows(n)
     table = np.zeros((attention_lm.ROWS, attention_lm.ROWS))
@@ -223,17 +223,80 @@ def test_language_model_trains_on_every_window(spark):
     starts = np.concatenate([[0], np.cumsum(lengths)])
     ids = np.random.default_rng(1).integers(0, 199, starts[-1]).astype(np.int32)
     trainer = attention_lm.Trainer(attention_lm.assemble(n, row, table))
-    trainer.texts(iter([(ids[: starts[4]], starts[:5]), (ids[starts[4] :], starts[4:] - starts[4])]), 199)
-    sizes = attention_lm.windows(starts[:-1], lengths - 1)[2]
-    assert trainer.tokens == sizes.sum() and trainer.steps == -(-len(sizes) // attention_lm.BATCH)
+    trainer.texts(iter([(ids[: starts[4]], starts[:5]), (ids[starts[4] :], starts[4:] - starts[4])]))
+    assert trainer.tokens == (lengths - 1).sum()
     outs = []
     for doc_id in (1, 16):  # a text counts whatever its id
-        lowered = attention_lm._lowered(docs(spark, ["alpha beta gamma alpha"], doc_id), F.lit(False))
-        coded = attention_lm.encoded(lowered, PATH, public_tokenizers.PATTERN)
-        outs.append(attention_lm.train(coded, attention_lm.word_counts(lowered), PATH, public_tokenizers.PATTERN).out)
+        coded = attention_lm.encoded(attention_lm.lowered(docs(spark, ["alpha beta gamma alpha"], doc_id), F.lit(False)), PATH, public_tokenizers.PATTERN)
+        outs.append(attention_lm.train(coded.where("ids is not null"), PATH, public_tokenizers.PATTERN).out)
     assert (outs[0] == outs[1]).all()
 
 
+def _random_model(seed=3):
+    rng = np.random.default_rng(seed)
+    n = rng.integers(0, 50, 3000).astype(float)
+    row = attention_lm._rows(n)
+    table = rng.poisson(0.05, (attention_lm.ROWS, attention_lm.ROWS)).astype(float)
+    w = attention_lm.assemble(n, row, table)
+    w.out = rng.normal(0, 0.5, w.out.shape).astype(np.float32)
+    return w, rng
+
+
+def test_language_model_scores_as_one_id_at_a_time():
+    w, rng = _random_model()
+    ids = rng.integers(0, 3000, 130).astype(np.int32)
+    starts = np.array([0, 2, 20, 45, 130])
+    got = attention_lm.log_probabilities(w, ids, starts)
+    q, k, v = (w.embedding @ t for t in (w.query, w.key, w.value))
+    step = attention_lm.WINDOW - attention_lm.CONTEXT
+    for r, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+        row, total = ids[a:b], 0.0
+        for t in range(1, len(row)):
+            window = 0 if t - 1 < attention_lm.WINDOW else (t - 1 - attention_lm.CONTEXT) // step
+            seen = [w.row[i] for i in row[window * step : t]]
+            s = np.array([np.exp(q[seen[-1]] @ k[j] / 4 + w.bias[len(seen) - 1 - at]) for at, j in enumerate(seen)])
+            p = np.exp((s / s.sum()) @ v[seen] @ w.out) * w.bigram[seen[-1]]
+            total += np.log(p[w.group[row[t]]] / p.sum()) + w.follow[seen[-1], w.row[row[t]]] + w.inner[row[t]]
+        assert got[r] == pytest.approx(total, rel=1e-4)
+
+
+def test_language_model_is_a_distribution():
+    w, _ = _random_model()
+    sums = np.zeros(len(w.row))
+    for last in (0, 7, 2000):
+        ids = np.array([[last, i] for i in range(3000)], dtype=np.int32).ravel()
+        sums = np.exp(attention_lm.log_probabilities(w, ids, np.arange(0, 6001, 2))).sum()
+        assert sums == pytest.approx(1.0, rel=1e-3)
+
+
+def test_language_model_gradient():
+    w, rng = _random_model()
+    rows, groups = (rng.integers(0, m, (3, attention_lm.WINDOW)).astype(np.int32) for m in (attention_lm.ROWS, attention_lm.CLASSES))
+    size = np.array([24, 24, 9])
+    for name in attention_lm.Weights.NAMES:
+        seen = []
+
+        def loss(shift, at):
+            tried = attention_lm.Trainer(attention_lm.Weights(**{k: np.copy(getattr(w, k)) for k in w.__dataclass_fields__ if k != "tables"}))
+            getattr(tried.w, name).ravel()[at] += shift
+            value = tried.step(rows, size, groups)
+            seen.append(np.sign(tried.first[attention_lm.Weights.NAMES.index(name)].ravel()[at]))
+            return value, tried.first[attention_lm.Weights.NAMES.index(name)].ravel()[at] * 10
+
+        for at in (0, 5):
+            (up, _), (down, _), (_, g) = loss(1e-2, at), loss(-1e-2, at), loss(0.0, at)
+            assert g == pytest.approx((up - down) / 2e-2, rel=0.05, abs=2e-4)
+
+
+def test_language_model_keeps_every_row(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (None, "a b"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = attention_lm.score(df, F.col("doc_id") == 2, PATH, public_tokenizers.PATTERN).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 1), (0, 3), (0, 3), (1, 2), (1, 3), (1, 3), (2, 1)]
+    assert len({r["score"] for r in got if r["n_tokens"] == 3}) == 1 and {r["held_out"] for r in got if r["doc_id"] == 2} == {True}
+    assert attention_lm.score(df.limit(0), F.col("doc_id") == 2, PATH, public_tokenizers.PATTERN).count() == 0
+
+
 def test_preferences(spark):
     rows = [
         (1, "chosen", 0, "user", "q"), (1, "chosen", 1, "assistant", "good"), (1, "rejected", 0, "user", "q"), (1, "rejected", 1, "assistant", "bad one"),

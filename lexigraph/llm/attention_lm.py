@@ -17,7 +17,7 @@ with a stated least context, by batched masked attention.
 The unigram base is computed beside it: exact word counts over all training
 text, joined to the words of every document; words above a share of all tokens
 (a bounded number of them) are looked up in the task instead of shuffled.  Words
-are known by 96 bits of a 128-bit hash.
+are known by 95 bits of hash of their ids.
 
 Defined results: a null or empty text is the end alone; equal texts have equal
 scores; with no training text at all every id is equally likely.  Every row has
@@ -27,31 +27,34 @@ Rows with a null doc_id belong to the training part; other columns are not used.
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.llm import ragged
-from lexigraph.llm.bpe import loaded
-from lexigraph.llm.common import ascii_lower, discard, pieces, stored
+from lexigraph.llm.common import ascii_lower, pieces, stored
 
 #: Rows of the input tables (the most frequent ids have their own), classes, width, window, least context.
-ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 64, 16, 24, 6
+ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 48, 16, 16, 4
 #: Windows of a training step, its rate, and windows scored at a time.
-BATCH, RATE, SCORED = 64, 0.01, 128
+BATCH, RATE, SCORED = 96, 0.01, 128
 #: Taken from the count of every pair of rows, and the least weight of a row's share of its class beside such counts.
 DISCOUNT, BACKOFF = 0.75, 1.0
 #: A word at least this share of all training tokens is looked up in memory: at most its inverse many words.
-FREQUENT = 1 / 400_000
+FREQUENT = 1 / 1_600_000
 #: Words whose ids a worker keeps; beyond, it starts anew.
 _CACHE_WORDS = 400_000
+#: log2 of the places of the table of frequent words.
+_TABLE_BITS = 22
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
@@ -68,41 +71,91 @@ def split(text: str | None) -> list[str]:
     return text.split()
 
 
+_MIXERS = np.random.default_rng(20240607).integers(1, 2**63, (2, 1 << 17), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEPS = (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15)
+_POWERS = [np.ones(1, np.uint64)] * 2
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h = h ^ (h >> np.uint64(29))
+    h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64 bits, 31 bits) of the words that are the ids [first, first + size); sizes are positive and words adjoin."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    place = np.arange(int(sizes.sum())) - np.repeat(ragged.offsets(sizes)[:-1], sizes)
+    own = ids[first[0] : first[0] + len(place)]
+    longest, out = int(sizes.max()), []
+    for k in (0, 1):
+        if len(_POWERS[k]) < longest:
+            _POWERS[k] = np.cumprod(np.full(max(longest, 64), _STEPS[k], np.uint64))
+        out.append(_mixed(np.add.reduceat(_MIXERS[k][own] * _POWERS[k][place], first - first[0])))
+    return out[0].view(np.int64), (out[1] >> np.uint64(33)).astype(np.int32)
+
+
+class _Slots(dict):
+    """Word -> slot; a new word gets the next one."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = slot = len(self)
+        return slot
+
+
 class Words:
     """Words by slot, with their ids and hashes; kept by a worker from task to task."""
 
     def __init__(self, path: str, pattern: str):
-        self.bpe = loaded(path, pattern)
-        self.end = len(self.bpe._tokens)
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.coder = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.end = max(ranks.values()) + 1
+        self.sizes = np.zeros(self.end, np.int64)  # bytes of each id
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
         self.reset()
 
     def reset(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot = _Slots()
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
-        self.hashes = np.zeros((0, 2), np.int64)
+        self.hashes = (np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     def full(self) -> bool:
         return len(self.slot) > _CACHE_WORDS
 
-    def slots(self, rows: list[list[str]], encode: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word): every word with a blank before it, by itself."""
+        text = " " + " ".join(words)
+        if any(c in text for c in (_ODD[:4] if text.isascii() else _ODD)):  # such blanks could reach over from word to word
+            each = [self.coder.encode_ordinary(" " + w) for w in words]
+            return np.array([i for row in each for i in row], dtype=np.int32), np.array(list(map(len, each)), dtype=np.int64)
+        ids = np.array(self.coder.encode_ordinary(text), dtype=np.int32)
+        begins = ragged.offsets(np.fromiter((len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        return ids, np.diff(np.searchsorted(ragged.offsets(self.sizes[ids])[:-1], begins))
+
+    def slots(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(slot of every word, number of words of each row)."""
-        slot = self.slot
-        fresh = list(dict.fromkeys(w for row in rows for w in row if w not in slot)) if not slot else list(set().union(*rows).difference(slot))
-        if fresh:
-            base = len(slot)
-            slot.update(zip(fresh, range(base, base + len(fresh))))
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in fresh), dtype=">i8").reshape(-1, 2).astype(np.int64)
-            digests[:, 1] &= 0x7FFFFFFF
-            self.hashes = np.concatenate([self.hashes, digests])
-            if encode:
-                ids, ends = self.bpe.encode_batch([" " + w for w in fresh])
-                self.starts = np.concatenate([self.starts, ends[:-1] + len(self.flat)])
-                self.lengths = np.concatenate([self.lengths, np.diff(ends)])
-                self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
         counts = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        each = np.fromiter((slot[w] for row in rows for w in row), dtype=np.int64, count=int(counts.sum()))
+        each = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(rows)), dtype=np.int64, count=int(counts.sum()))
+        fresh = self.slot.fresh
+        if fresh:
+            ids, sizes = self._encoded(fresh)
+            starts = ragged.offsets(sizes)[:-1]
+            self.hashes = tuple(map(np.concatenate, zip(self.hashes, word_hashes(ids, starts, sizes))))
+            self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+            self.lengths = np.concatenate([self.lengths, sizes])
+            self.flat = np.concatenate([self.flat, ids])
+            self.slot.fresh = []
         return each, counts
 
     def documents(self, each: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,17 +172,14 @@ class Words:
         return out, starts
 
 
-_KEPT: dict[tuple, Words] = {}
+_KEPT: dict[tuple[str, str], Words] = {}
 
 
-def kept_words(path: str, pattern: str, encode: bool) -> Words:
-    key = (path, pattern, encode)
-    if key not in _KEPT:
+def kept_words(path: str, pattern: str) -> Words:
+    if (path, pattern) not in _KEPT:
         _KEPT.clear()  # one cache at a time
-        _KEPT[key] = Words(path, pattern)
-    if _KEPT[key].full():
-        _KEPT[key].reset()
-    return _KEPT[key]
+        _KEPT[path, pattern] = Words(path, pattern)
+    return _KEPT[path, pattern]
 
 
 _GAPS = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
@@ -217,7 +267,7 @@ def assemble(counts: np.ndarray, row: np.ndarray, bigrams: np.ndarray, seed: int
     of_row = np.bincount(row, weights=smooth, minlength=ROWS)
     inner = np.log(smooth) - np.log(np.maximum(of_row, 1e-9))[row]
     of_class = np.bincount(label, weights=of_row, minlength=CLASSES)
-    share = of_row / of_class[label]
+    share = of_row / np.maximum(of_class, 1e-9)[label]
     member = np.zeros((ROWS, CLASSES))
     member[np.arange(ROWS), label] = 1.0
     # absolute discounting: what is taken from seen pairs goes to the class's shares
@@ -226,14 +276,15 @@ def assemble(counts: np.ndarray, row: np.ndarray, bigrams: np.ndarray, seed: int
     table = np.zeros((ROWS, CLASSES))
     np.add.at(table.T, label, bigrams.T)
     prior = np.bincount(group, weights=smooth, minlength=CLASSES)
-    prior = (prior + 1e-3) / (prior + 1e-3).sum()
+    prior = (prior + 1e-3) * (of_class > 0)  # a class without ids has no outcome
+    prior /= prior.sum()
     table = table + 20.0 * prior
     embedding = x[:, :WIDTH] - x[:, :WIDTH].mean(axis=0)
     embedding /= np.maximum(embedding.std(axis=0), 1e-6)
     rng = np.random.default_rng(seed)
     d, f = WIDTH, np.float32
     return Weights(
-        row, group, inner, follow.astype(f), (table / table.sum(axis=1, keepdims=True)).astype(f), np.clip(embedding, -4, 4).astype(f),
+        row, group, inner, follow.astype(f), (np.maximum(table, 1e-12) / table.sum(axis=1, keepdims=True)).astype(f), np.clip(embedding, -4, 4).astype(f),
         rng.normal(0, 0.3, (d, d)).astype(f), rng.normal(0, 0.3, (d, d)).astype(f), rng.normal(0, 0.3, (d, d)).astype(f),
         np.zeros((d, CLASSES), f), (-0.02 * np.arange(WINDOW)).astype(f),
     )
@@ -369,48 +420,58 @@ def lowered(documents: DataFrame, held_out: Column) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), F.coalesce(held_out, F.lit(False)).alias("held_out"), quick.alias("text"))
 
 
-def _id_type(path: str, pattern: str) -> str:
-    return "<u2" if len(loaded(path, pattern)._tokens) < 1 << 16 else "<u4"
+def _end(path: str) -> int:
+    """The end mark: one more than the largest id of the vocabulary."""
+    with open(path, "rb") as lines:
+        return max(int(line.split()[1]) for line in lines) + 1
+
+
+def _id_type(path: str) -> str:
+    return "<u2" if _end(path) < 1 << 16 else "<u4"
 
 
 def encoded(texts: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows of texts (doc_id, th, held_out, ids as packed integers), and rows of words (h1, h2, c).
+    """Rows of texts (doc_id, th, held_out, ids as packed integers), of words (h1, h2, c) and of ids (h1, -1, c).
 
-    A word's rows give its occurrences in training texts, added up within a task.
+    The latter two count the outcomes in training texts, added up within a task.
     """
-    kind = _id_type(path, pattern)
+    kind, size = _id_type(path), _end(path) + 1
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("h1", pa.int64()), ("h2", pa.int32()), ("c", pa.int64())])
 
+    def counted(h1: np.ndarray, h2: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(c), 50_000):
+            part = slice(low, low + 50_000)
+            n = len(c[part])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in schema.types[:4]), pa.array(h1[part]), pa.array(h2[part]), pa.array(c[part])], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept_words(path, pattern, True)
-        counts = np.zeros(len(words.slot), np.int64)
+        words = kept_words(path, pattern)
+        counts = np.zeros(0, np.int64)
+        total = np.zeros(size, np.int64)
 
-        def counted() -> Iterator[pa.RecordBatch]:
+        def of_words() -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(counts)
-            for low in range(0, len(at), 50_000):
-                some = at[low : low + 50_000]
-                n = len(some)
-                h = words.hashes[some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(h[:, 0]), pa.array(h[:, 1].astype(np.int32)), pa.array(counts[some])], schema=schema
-                )
+            yield from counted(words.hashes[0][at], words.hashes[1][at], counts[at])
 
         for batch in pieces(batches):
             if words.full():
-                yield from counted()
+                yield from of_words()
                 words.reset()
                 counts = np.zeros(0, np.int64)
             each, sizes = words.slots([split(t) for t in batch.column(3).to_pylist()])
-            training = np.repeat(~np.asarray(batch.column(2).to_numpy(zero_copy_only=False), dtype=bool), sizes)
-            new = np.bincount(each[training], minlength=len(words.slot))
+            training = ~np.asarray(batch.column(2).to_numpy(zero_copy_only=False), dtype=bool)
+            new = np.bincount(each[np.repeat(training, sizes)], minlength=len(words.slot))
             new[: len(counts)] += counts
             counts = new
             ids, starts = words.documents(each, sizes)
+            total += np.bincount(ids[np.repeat(training, np.diff(starts))], minlength=size)
+            total[size - 1] -= training.sum()  # the mark at the begin is no outcome
             raw = ids.astype(kind)
             packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((starts * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], schema=schema)
-        yield from counted()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed, *(pa.nulls(batch.num_rows, t) for t in schema.types[4:])], schema=schema)
+        yield from of_words()
+        at = np.flatnonzero(total)
+        yield from counted(at, np.full(len(at), -1, np.int32), total[at])
 
     return texts.mapInArrow(run, "doc_id bigint, th bigint, held_out boolean, ids binary, h1 bigint, h2 int, c bigint")
 
@@ -422,24 +483,13 @@ def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return flat.astype(np.int32), (ends - ends[0]) // width
 
 
-def train(coded: DataFrame, path: str, pattern: str) -> Weights:
-    """The model of the training documents (doc_id, held_out, ids); only tables of fixed size reach the driver."""
-    kind = _id_type(path, pattern)
-    size = len(loaded(path, pattern)._tokens) + 1
-    texts = coded.where("not held_out").select("ids")
-
-    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in pieces(batches):
-            ids, starts = _unpacked(batch.column(0), kind)
-            total += np.bincount(ids, minlength=size)
-            total[size - 1] -= batch.num_rows  # the mark at the begin is no outcome
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
-
-    found = texts.mapInArrow(unigrams, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(size)
-    n[found["id"].to_numpy()] = found["n"].to_numpy()
+def train(first: DataFrame, path: str) -> Weights:
+    """The model of the training rows of ``encoded``; only tables of fixed size reach the driver."""
+    kind = _id_type(path)
+    texts = first.where("not held_out").select("ids")
+    found = first.where("h2 = -1").groupBy("h1").agg(F.sum("c").alias("c")).toArrow()
+    n = np.zeros(_end(path) + 1)
+    n[found["h1"].to_numpy()] = found["c"].to_numpy()
     row = _rows(n)
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,91 +539,98 @@ def train(coded: DataFrame, path: str, pattern: str) -> Weights:
     return start
 
 
-def _word_rows(texts: DataFrame, frequent, path: str, pattern: str) -> DataFrame:
-    """A row for every text, and for every word of it that is not frequent.
+class Frequent:
+    """log10(c + 1) of frequent words in a table of fixed size; a word without a place in it is treated as a rare one."""
+
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray):
+        size = 1 << _TABLE_BITS
+        self.h1, self.h2, self.worth = np.zeros(size, np.int64), np.full(size, -2, np.int32), np.zeros(size)
+        at = h1 & (size - 1)
+        self.h1[at], self.h2[at] = h1, h2
+        there = (self.h1[at] == h1) & (self.h2[at] == h2)
+        self.worth[at[there]] = np.log10(counts[there] + 1.0)
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The word's value, or -1."""
+        at = h1 & ((1 << _TABLE_BITS) - 1)
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), self.worth[at], -1.0)
+
+
+_PARTS = pa.schema(
+    [("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("held_out", pa.bool_()), ("copies", pa.int64()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("hits", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+)
 
-    ``frequent`` is a broadcast of (sorted h1, h2, log10(c + 1)).
+
+def _scored(coded: DataFrame, shared, path: str) -> DataFrame:
+    """A row for every text with its score, and one for every word of it that is not frequent.
+
+    ``shared`` is a broadcast of the weights, the frequent words, and a mask of the ids that begin a word.
     """
-    schema = pa.schema(
-        [("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("held_out", pa.bool_()), ("copies", pa.int64()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("hits", pa.int64()), ("base", pa.float64())]
-    )
+    kind, end = _id_type(path), _end(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept_words(path, pattern, False)
-        h1, h2, logs = frequent.value
-        value = np.zeros(0)  # by slot; -1 for a word that is not frequent
-
+        weights, frequent, begins = shared.value
         for batch in pieces(batches):
-            if words.full():
-                words.reset()
-                value = np.zeros(0)
-            each, sizes = words.slots([split(t) for t in batch.column(3).to_pylist()], encode=False)
-            if len(value) < len(words.slot):
-                new = words.hashes[len(value) :]
-                at = np.searchsorted(h1, new[:, 0])
-                at[at == len(h1)] = 0
-                there = (h1[at] == new[:, 0]) & (h2[at] == new[:, 1]) if len(h1) else np.zeros(len(new), bool)
-                value = np.concatenate([value, np.where(there, logs[at] if len(h1) else 0.0, -1.0)])
+            ids, starts = _unpacked(batch.column(3), kind)
             m = batch.num_rows
-            owner = np.repeat(np.arange(m), sizes)
-            worth = value[each]
+            score = log_probabilities(weights, ids, starts) / math.log(10)
+            inside = ids != end
+            owner = np.repeat(np.arange(m), np.diff(starts))[inside]
+            flat = ids[inside]
+            first = np.flatnonzero(begins[flat])
+            h1, h2 = word_hashes(flat, first, np.diff(np.append(first, len(flat))))
+            owner = owner[first]
+            worth = frequent.find(h1, h2)
             common = worth >= 0
             base = np.bincount(owner[common], weights=worth[common], minlength=m)
             hits = np.bincount(owner[common], minlength=m)
-            pairs, times = np.unique(owner[~common] * np.int64(len(words.slot)) + each[~common], return_counts=True)
-            whose, slot = np.divmod(pairs, max(1, len(words.slot)))
-            h = words.hashes[slot]
-            k = len(pairs)
+            sizes = np.bincount(owner, minlength=m)
+            h1, h2, owner = h1[~common], h2[~common], owner[~common]
+            order = np.lexsort((h1, owner))
+            h1, h2, owner = h1[order], h2[order], owner[order]
+            new = np.ones(len(h1), bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (owner[1:] != owner[:-1]) | (h2[1:] != h2[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(h1)))
+            k, whose = len(at), pa.array(owner[at])
             keys, marks = batch.column(0), batch.column(1)
-            whose = pa.array(whose)
+            ones, none = pa.array(np.ones(m, np.int64)), pa.array(np.zeros(k, np.int64))
             # the key of a text's own row is no word's: these rows spread over all partitions
             yield pa.RecordBatch.from_arrays(
-                [marks, pa.array(np.full(m, -1, np.int32)), keys, marks, batch.column(2), pa.array(np.ones(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(sizes + 1), pa.array(hits), pa.array(base)], schema=schema
+                [marks, pa.array(np.full(m, -1, np.int32)), keys, marks, batch.column(2), ones, pa.array(np.zeros(m, np.int64)), pa.array(sizes + 1), pa.array(hits), pa.array(base), pa.array(score)], schema=_PARTS
             )
-            none = pa.array(np.zeros(k, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[:, 0]), pa.array(h[:, 1].astype(np.int32)), keys.take(whose), marks.take(whose), pa.nulls(k, pa.bool_()), none, pa.array(times), none, none, pa.array(np.zeros(k))], schema=schema
+                [pa.array(h1[at]), pa.array(h2[at]), keys.take(whose), marks.take(whose), pa.nulls(k, pa.bool_()), none, pa.array(times), none, none, pa.array(np.zeros(k)), pa.array(np.zeros(k))], schema=_PARTS
             )
 
-    return texts.mapInArrow(run, "h1 bigint, h2 int, doc_id bigint, th bigint, held_out boolean, copies bigint, times bigint, n_tokens bigint, hits bigint, base double")
+    return coded.mapInArrow(run, "h1 bigint, h2 int, doc_id bigint, th bigint, held_out boolean, copies bigint, times bigint, n_tokens bigint, hits bigint, base double, score double")
 
 
 def score(documents: DataFrame, held_out: Column, path: str, pattern: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = documents.sparkSession
-    texts = lowered(documents, held_out)
-    first = stored(encoded(texts, path, pattern), "lm-ids")
+    first = stored(encoded(lowered(documents, held_out), path, pattern), "lm-ids")
     coded = first.where("ids is not null").select("doc_id", "th", "held_out", "ids")
-    counts = stored(first.where("h1 is not null").groupBy("h1", "h2").agg(F.sum("c").alias("c")), "lm-words")
+    counts = stored(first.where("h2 >= 0").groupBy("h1", "h2").agg(F.sum("c").alias("c")), "lm-words")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = coded.where("not held_out").count()
     n, v = int(sums["n"]) + ends, int(sums["v"]) + (1 if ends else 0)
-    weights = train(coded, path, pattern)
-    kind = _id_type(path, pattern)
-    least = max(2, math.ceil(n * FREQUENT))
+    weights = train(first, path)
     # at most 1 / FREQUENT words
-    known = counts.where(F.col("c") >= least).toArrow().sort_by([("h1", "ascending")])
-    frequent = spark.sparkContext.broadcast((known["h1"].to_numpy(), known["h2"].to_numpy(), np.log10(known["c"].to_numpy() + 1.0)))
-    model = spark.sparkContext.broadcast(weights)
-
-    def model_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            ids, starts = _unpacked(batch.column(2), kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log_probabilities(model.value, ids, starts) / math.log(10))], names=["doc_id", "th", "score"])
-
-    joined = _word_rows(texts, frequent, path, pattern).join(counts.where(F.col("c") < least), ["h1", "h2"], "left")
+    known = counts.where(F.col("c") >= max(2, math.ceil(n * FREQUENT))).toArrow()
+    words = Words(path, pattern)
+    begins = np.array([words.coder.decode_single_token_bytes(i)[:1] == b" " if words.sizes[i] else False for i in range(words.end)] + [False])
+    shared = spark.sparkContext.broadcast((weights, Frequent(known["h1"].to_numpy(), known["h2"].to_numpy(), known["c"].to_numpy()), begins))
+    joined = _scored(coded, shared, path).join(counts, ["h1", "h2"], "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     based = joined.select(
-        "doc_id", "th", "held_out", "copies", "n_tokens",
+        "doc_id", "th", "held_out", "copies", "n_tokens", "score",
         (F.when(c > 0, F.col("times")).otherwise(0) + F.col("hits")).alias("hits"),
         (F.col("times") * F.log10(c + 1) + F.col("base")).alias("base"),
     )
-    scored = coded.select("doc_id", "th", "ids").mapInArrow(model_scores, "doc_id bigint, th bigint, score double")
-    end = math.log10(ends + 1)
-    per = F.col("copies")
+    end, per = math.log10(ends + 1), F.col("copies")
     each = (
-        based.unionByName(scored, allowMissingColumns=True)
-        .groupBy("doc_id", "th")
+        based.groupBy("doc_id", "th")
         .agg(F.max("held_out").alias("held_out"), *[F.sum(k).alias(k) for k in ("copies", "n_tokens", "hits", "base", "score")])
         .select(
             "doc_id",

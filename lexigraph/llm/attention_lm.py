@@ -543,17 +543,27 @@ class Frequent:
     """log10(c + 1) of frequent words in a table of fixed size; a word without a place in it is treated as a rare one."""
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray):
-        size = 1 << _TABLE_BITS
-        self.h1, self.h2, self.worth = np.zeros(size, np.int64), np.full(size, -2, np.int32), np.zeros(size)
-        at = h1 & (size - 1)
-        self.h1[at], self.h2[at] = h1, h2
-        there = (self.h1[at] == h1) & (self.h2[at] == h2)
-        self.worth[at[there]] = np.log10(counts[there] + 1.0)
+        self.words = (h1, h2, counts)
+        self.tables: tuple | None = None
+
+    def prepared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Made in the worker: the words alone are sent."""
+        if self.tables is None:
+            h1, h2, counts = self.words
+            size = 1 << _TABLE_BITS
+            tables = np.zeros(size, np.int64), np.full(size, -2, np.int32), np.zeros(size)
+            at = h1 & (size - 1)
+            tables[0][at], tables[1][at] = h1, h2
+            there = (tables[0][at] == h1) & (tables[1][at] == h2)
+            tables[2][at[there]] = np.log10(counts[there] + 1.0)
+            self.tables = tables
+        return self.tables
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The word's value, or -1."""
+        one, two, worth = self.prepared()
         at = h1 & ((1 << _TABLE_BITS) - 1)
-        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), self.worth[at], -1.0)
+        return np.where((one[at] == h1) & (two[at] == h2), worth[at], -1.0)
 
 
 _PARTS = pa.schema(

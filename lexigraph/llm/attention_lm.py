@@ -44,9 +44,9 @@ from lexigraph.llm import ragged
 from lexigraph.llm.common import ascii_lower, pieces, stored
 
 #: Rows of the input tables (the most frequent ids have their own), classes, width, window, least context.
-ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 48, 16, 16, 4
+ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 40, 16, 16, 3
 #: Windows of a training step, its rate, and windows scored at a time.
-BATCH, RATE, SCORED = 96, 0.01, 128
+BATCH, RATE, SCORED = 64, 0.01, 256
 #: Taken from the count of every pair of rows, and the least weight of a row's share of its class beside such counts.
 DISCOUNT, BACKOFF = 0.75, 1.0
 #: A word at least this share of all training tokens is looked up in memory: at most its inverse many words.
@@ -215,7 +215,7 @@ class Weights:
             scores = (self.embedding @ self.query) @ (self.embedding @ self.key).T * np.float32(1 / math.sqrt(WIDTH))
             self.tables = (
                 np.exp(np.minimum(scores, _HIGH / 2)).ravel(),
-                (self.embedding @ self.value).astype(np.float32),
+                np.concatenate([self.embedding @ self.value, np.ones((ROWS, 1))], axis=1).astype(np.float32),  # the last column adds up the weights
                 (np.exp(np.minimum(self.bias, _HIGH / 2))[np.maximum(_GAPS, 0)] * _PAST).astype(np.float32),
             )
         return self.tables
@@ -226,8 +226,9 @@ def _rows(counts: np.ndarray) -> np.ndarray:
     own = ROWS - ROWS // 4
     order = np.lexsort((np.arange(len(counts)), -counts))
     row = own + (np.arange(len(counts), dtype=np.int64) * 2654435761 % 2**32) % (ROWS - own)
+    row = row.astype(np.int64)
     row[order[:own]] = np.arange(own)
-    return row.astype(np.int32)
+    return row
 
 
 def _spectrum(bigrams: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -262,7 +263,7 @@ def assemble(counts: np.ndarray, row: np.ndarray, bigrams: np.ndarray, seed: int
     """Count tables and the common starting weights."""
     x = _spectrum(bigrams)
     label = _classes(x, bigrams.sum(axis=0) + 1.0)
-    group = label[row].astype(np.int32)
+    group = label[row].astype(np.int64)
     smooth = counts + 0.02
     of_row = np.bincount(row, weights=smooth, minlength=ROWS)
     inner = np.log(smooth) - np.log(np.maximum(of_row, 1e-9))[row]
@@ -308,7 +309,7 @@ def log_probabilities(w: Weights, ids: np.ndarray, starts: np.ndarray) -> np.nda
     owner, begin, size, first = windows(starts[:-1], lengths)
     total = np.zeros(len(lengths))
     padded = np.concatenate([ids, np.zeros(WINDOW + 1, dtype=ids.dtype)])
-    own = w.row[padded]
+    own = w.row.take(padded)
     ones = np.ones(CLASSES, np.float32)
     for head in (0, CONTEXT):  # the first windows of texts, and the others, whose first places are context alone
         those = np.flatnonzero(first == head)
@@ -317,19 +318,18 @@ def log_probabilities(w: Weights, ids: np.ndarray, starts: np.ndarray) -> np.nda
         for low in range(0, len(those), SCORED):
             some = those[low : low + SCORED]
             at = begin[some][:, None] + np.arange(WINDOW)
-            rows = own[at]
-            s = scores.take((rows[:, head:, None] * np.int32(ROWS)) + rows[:, None, :])
+            rows = own.take(at)
+            s = scores.take((rows[:, head:, None] * ROWS) + rows[:, None, :])
             s *= bias
-            mixed = np.matmul(s, values[rows])
-            mixed /= s.sum(axis=2)[:, :, None]
-            p = mixed.reshape(-1, WIDTH) @ w.out
+            mixed = np.matmul(s, values.take(rows, axis=0)).reshape(-1, WIDTH + 1)
+            p = (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ w.out
             np.minimum(p, _HIGH, out=p)
             np.exp(p, out=p)
             last = rows[:, head:].ravel()
-            p *= w.bigram[last]
-            target = padded[at[:, head:] + 1].ravel()
-            picked = p[np.arange(len(p)), w.group[target]].astype(np.float64)
-            logp = np.log(picked / (p @ ones)) + w.follow[last, w.row[target]] + w.inner[target]
+            p *= w.bigram.take(last, axis=0)
+            target = padded.take(at[:, head:] + 1).ravel()
+            picked = p.take(np.arange(0, p.size, CLASSES) + w.group.take(target)).astype(np.float64)
+            logp = np.log(picked / (p @ ones)) + w.follow.take(last * ROWS + w.row.take(target)) + w.inner.take(target)
             logp = np.where(place < size[some][:, None], logp.reshape(len(some), -1), 0.0).sum(axis=1)
             total += np.bincount(owner[some], weights=logp, minlength=len(total))
     return total
@@ -349,31 +349,28 @@ class Trainer:
     def step(self, rows: np.ndarray, size: np.ndarray, groups: np.ndarray) -> float:
         w = self.w
         m, d, scale = len(rows), WIDTH, np.float32(1 / math.sqrt(WIDTH))
-        e = w.embedding[rows.ravel()]
-        q, k, v = ((e @ t).reshape(m, WINDOW, d) for t in (w.query, w.key, w.value))
+        flat = rows.ravel()
+        e = w.embedding.take(flat, axis=0)
+        q, k, v = ((e @ t).reshape(m, WINDOW, d) for t in (w.query * scale, w.key, w.value))
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= scale
         a += w.bias[np.maximum(_GAPS, 0)]
         np.minimum(a, _HIGH, out=a)  # so that exp stays finite without a pass for the maximum
         np.exp(a, out=a)
         a *= _PAST
-        a /= a.sum(axis=2)[:, :, None]
-        mixed = np.matmul(a, v)
-        x = mixed.reshape(-1, d)
+        a *= (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32))).reshape(m, WINDOW, 1)
+        x = np.matmul(a, v).reshape(-1, d)
         p = x @ w.out
-        p += self.log_bigram[rows.ravel()]
+        p += self.log_bigram.take(flat, axis=0)
         np.minimum(p, _HIGH, out=p)
         np.exp(p, out=p)
-        p /= p.sum(axis=1)[:, None]
         n = int(size.sum())
-        line, target = np.arange(len(p)), groups.ravel()
-        real = np.arange(WINDOW) < size[:, None]
-        loss = float(-np.log(np.maximum(p[line, target], 1e-12))[real.ravel()].mean())
-        p[line, target] -= 1.0
-        if n == real.size:
-            p *= np.float32(1 / n)
-        else:
-            p *= (real.ravel() * np.float32(1 / n)).astype(np.float32)[:, None]
+        target = np.arange(0, p.size, CLASSES) + groups.ravel()
+        norm = 1 / (p @ np.ones(CLASSES, np.float32))
+        real = (np.arange(WINDOW) < size[:, None]).ravel()
+        loss = float(-np.log(np.maximum(p.take(target) * norm, 1e-12))[real].mean())
+        weight_ = real * np.float32(1 / n)
+        p *= (norm * weight_)[:, None]
+        p.reshape(-1)[target] -= weight_
         d_out = x.T @ p
         d_x = p @ w.out.T
         d_mixed = d_x.reshape(m, WINDOW, d)
@@ -382,8 +379,7 @@ class Trainer:
         d_s -= np.einsum("ij,ij->i", d_x, x).reshape(m, WINDOW, 1)
         d_s *= a
         d_bias = np.bincount(np.maximum(_GAPS, 0).ravel(), weights=d_s.sum(axis=0).ravel(), minlength=WINDOW).astype(np.float32)
-        d_s *= scale
-        grads = [e.T @ np.matmul(d_s, k).reshape(-1, d), e.T @ np.matmul(d_s.transpose(0, 2, 1), q).reshape(-1, d), e.T @ d_v.reshape(-1, d), d_out, d_bias]
+        grads = [scale * (e.T @ np.matmul(d_s, k).reshape(-1, d)), e.T @ np.matmul(d_s.transpose(0, 2, 1), q).reshape(-1, d), e.T @ d_v.reshape(-1, d), d_out, d_bias]
         self.steps += 1
         self.tokens += n
         t = self.steps
@@ -402,7 +398,7 @@ class Trainer:
             for low in range(0, len(begin), 4096):  # bounds what is gathered at a time
                 part = slice(low, low + 4096)
                 at = begin[part][:, None] + np.arange(WINDOW)
-                held.append((self.w.row[padded[at]], sizes[part], self.w.group[padded[at + 1]]))
+                held.append((self.w.row.take(padded.take(at)), sizes[part], self.w.group.take(padded.take(at + 1))))
                 rows, sizes_, groups = (np.concatenate(x) for x in zip(*held))
                 whole = len(rows) // BATCH * BATCH
                 for first in range(0, whole, BATCH):
@@ -504,7 +500,7 @@ def train(first: DataFrame, path: str) -> Weights:
         for batch in pieces(batches):
             ids, starts = _unpacked(batch.column(0), kind)
             r = row[ids]
-            cell = r[:-1] * np.int32(ROWS) + r[1:]
+            cell = r[:-1] * ROWS + r[1:]
             inside = np.ones(len(cell), dtype=bool)
             inside[starts[1:-1] - 1] = False
             held.append(cell[inside])

@@ -44,7 +44,7 @@ from lexigraph.llm import ragged
 from lexigraph.llm.common import ascii_lower, pieces, stored
 
 #: Rows of the input tables (the most frequent ids have their own), classes, width, window, least context.
-ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 40, 16, 16, 3
+ROWS, CLASSES, WIDTH, WINDOW, CONTEXT = 2048, 32, 16, 16, 3
 #: Windows of a training step, its rate, and windows scored at a time.
 BATCH, RATE, SCORED = 64, 0.01, 256
 #: Taken from the count of every pair of rows, and the least weight of a row's share of its class beside such counts.
@@ -54,7 +54,7 @@ FREQUENT = 1 / 1_600_000
 #: Words whose ids a worker keeps; beyond, it starts anew.
 _CACHE_WORDS = 400_000
 #: log2 of the places of the table of frequent words.
-_TABLE_BITS = 22
+_TABLE_BITS = 21
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
@@ -449,7 +449,7 @@ def encoded(texts: DataFrame, path: str, pattern: str) -> DataFrame:
             at = np.flatnonzero(counts)
             yield from counted(words.hashes[0][at], words.hashes[1][at], counts[at])
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, 2048, 3):
             if words.full():
                 yield from of_words()
                 words.reset()
@@ -489,6 +489,7 @@ def train(first: DataFrame, path: str) -> Weights:
     row = _rows(n)
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _KEPT.clear()  # a worker may come from the pass that needed it
         total = np.zeros(ROWS * ROWS, dtype=np.int64)
         held: list[np.ndarray] = []
 
@@ -576,7 +577,8 @@ def _scored(coded: DataFrame, shared, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, frequent, begins = shared.value
-        for batch in pieces(batches):
+        _KEPT.clear()
+        for batch in pieces(batches, 1024, 3, 1 << 20):
             ids, starts = _unpacked(batch.column(3), kind)
             m = batch.num_rows
             score = log_probabilities(weights, ids, starts) / math.log(10)

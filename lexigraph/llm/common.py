@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,11 +76,23 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table_.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows (without copies), which bounds what is worked out at a time."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS, column: int | None = None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows (without copies), which bounds what is worked out at a time.
+
+    With a string or binary ``column`` a slice ends before its bytes exceed ``most``, unless it is one row.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at, n = 0, batch.num_rows
+        ends = None
+        if column is not None and n:
+            own = batch.column(column)
+            ends = np.frombuffer(own.buffers()[1], dtype=np.int32)[own.offset : own.offset + n + 1]
+        while at < n:
+            stop = min(n, at + rows)
+            if ends is not None:
+                stop = min(stop, max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def crc_bucket(column: str, modulus: int):

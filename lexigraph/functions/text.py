@@ -12,8 +12,14 @@ WHITESPACE = "".join(map(chr, [0, *range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0,
 
 
 def char_class(chars: str) -> str:
-    """The inside of a regular expression's class of these characters, for Java."""
-    return "".join(f"\\x{{{ord(c):X}}}" for c in chars)
+    """The inside of a regular expression's class of these characters, for Java; neighbours are one range."""
+    spans: list[list[int]] = []
+    for c in sorted(map(ord, set(chars))):
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
 
 
 _WS = char_class(WHITESPACE)
@@ -29,8 +35,8 @@ def runs(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Maximal runs without white space."""
-    return F.regexp_extract_all(text, F.lit(f"[^{_WS}]+"), F.lit(0))
+    """Maximal runs without white space; without a regular expression, which would take several times as long."""
+    return F.filter(F.split(F.translate(text, WHITESPACE, " " * len(WHITESPACE)), " "), lambda w: w != "")
 
 
 def parts(word: Column, separators: str) -> Column:

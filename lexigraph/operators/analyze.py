@@ -7,6 +7,8 @@ running sum of the nodes of the words before it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,9 +108,8 @@ def interpret_words(distinct: DataFrame, lexicon: Lexicon, config: Config) -> tu
 
 
 def word_table(distinct: DataFrame, lexicon: Lexicon, config: Config) -> DataFrame:
-    """Rows of all distinct words, known or not: ``word, nodes`` and the columns of ``ROW``."""
+    """Rows of all distinct words of a written table, known or not: ``word, nodes`` and the columns of ``ROW``."""
     separators = lexicon.rules.separators
-    distinct = stored(distinct, "distinct")
     known, reached = interpret_words(distinct, lexicon, config)
     known = stored(known, "known")
     with_rows = known.select("word").distinct()
@@ -175,22 +176,38 @@ def analyze(texts: DataFrame, lexicon: Lexicon, config: Config = Config(), id_co
     cut = tokens(texts, config.whitespace, id_col, text_col)
     if carried:
         cut = cut.join(texts.select(id_col, *carried).distinct(), id_col)
-    distinct = cut.where("not space").select(F.col("token").alias("word")).distinct()
-    table = stored(word_table(distinct, lexicon, config), "words")
-    return number(cut, table, config, id_col, session, order)
+    counted = stored(cut.where("not space").groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("n")), "distinct")
+    table = word_table(counted.select("word"), lexicon, config)
+    # one row a word; its readings are few
+    made = table.groupBy("word").agg(F.first("nodes").alias("nodes"), F.array_sort(F.collect_list(F.struct(*ROW))).alias("rows"))
+    words_ = stored(made.join(counted, "word"), "words")
+    return number(cut, words_, config, id_col, session, order)
+
+
+#: A word of at least this share of all tokens is looked up by broadcast: at most its inverse many words.
+FREQUENT = 1 / 20_000
 
 
 def number(cut: DataFrame, table: DataFrame, config: Config, id_col: str = "doc_id", session: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """Join tokens with the rows of their words, and number the nodes."""
-    sizes = table.select(F.col("word").alias("token"), "nodes").distinct()
-    sized = cut.join(sizes, "token", "left").withColumn("nodes", F.coalesce("nodes", F.lit(1)))
+    """Join tokens with the rows of their words (``word, nodes, rows, n``), and number the nodes.
+
+    Tokens of frequent words meet theirs by broadcast, and spread over all partitions of the join of the others.
+    """
+    least = max(2, math.ceil((table.agg(F.sum("n")).first()[0] or 0) * FREQUENT))
+    often = table.where((F.col("n") >= least) & (F.length("word") <= 64)).select(F.col("word").alias("token"), F.struct("nodes", "rows").alias("often"))
+    rare = table.where((F.col("n") < least) | (F.length("word") > 64)).select(F.col("word").alias("key"), F.struct("nodes", "rows").alias("rare"))
+    looked = cut.join(F.broadcast(often), "token", "left")
+    # \0 is white space, so no word begins with it
+    key = F.when(F.col("often").isNull() & ~F.col("space"), F.col("token")).otherwise(F.concat(F.lit("\0"), (F.xxhash64("token", "word_idx", id_col) % 1_000_000).cast("string")))
+    met = looked.withColumn("key", key).join(rare, "key", "left").withColumn("met", F.coalesce("often", "rare")).drop("often", "rare", "key")
+    sized = met.withColumn("nodes", F.coalesce("met.nodes", F.lit(1)))
     if config.token_numbering == TokenNumbering.CONTINUOUS and session is not None:
         span = Window.partitionBy(*session).orderBy(*(order or []), id_col, "word_idx")
     else:
         span = Window.partitionBy(id_col).orderBy("word_idx")
     before = F.coalesce(F.sum("nodes").over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     placed = sized.withColumn("base", before)
-    rows = placed.where("not space").join(table.drop("nodes").withColumnRenamed("word", "token"), "token")
+    rows = placed.where("not space").withColumn("x", F.explode("met.rows")).select(*[c for c in placed.columns if c != "met"], "x.*")
     orth = F.col("orth")
     if config.whitespace == WhitespaceHandling.APPEND:
         # blanks belong to the rows at the word's first and last node

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.errors import InvalidDictionary
 from lexigraph.functions.text import label_set, lower1, tag_pattern
+from lexigraph.plans.storage import stored
 from lexigraph.sources.rules import Pattern, RuleSet
 from lexigraph.sources.tagset import Tagset
 
@@ -81,13 +82,17 @@ def _common(a: Column, b: Column) -> Column:
     least = F.least(F.length(a), F.length(b))
     same = F.transform(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda k: F.substring(a, k, F.lit(1)) == F.substring(b, k, F.lit(1)))
     miss = F.array_position(same, F.lit(False)).cast("int")
-    return F.when(least == 0, F.lit(0)).when(miss == 0, least).otherwise(miss - 1)
+    slow = F.when(least == 0, F.lit(0)).when(miss == 0, least).otherwise(miss - 1)
+    # a back reference finds the same prefix, where the mark between the two is in neither
+    quick = F.length(F.regexp_extract(F.concat(a, F.lit("\0"), b), r"^([^\x00]*)[^\x00]*\x00\1", 1))
+    return F.when(a.startswith(b), F.length(b)).when(F.contains(a, F.lit("\0")) | F.contains(b, F.lit("\0")), slow).otherwise(quick)
 
 
 def upper_bits(text: Column) -> Column:
     """A 1 for every upper-case character, else a 0."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.array_join(F.transform(chars, lambda c: F.when((c == F.upper(c)) & (c != F.lower(c)), F.lit("1")).otherwise(F.lit("0"))), "")
+    bits = F.array_join(F.transform(chars, lambda c: F.when((c == F.upper(c)) & (c != F.lower(c)), F.lit("1")).otherwise(F.lit("0"))), "")
+    return F.when(F.lower(text) == text, F.repeat(F.lit("0"), F.length(text))).otherwise(bits)
 
 
 def _encoded(rows: DataFrame, source: str, target: str, fold: bool, moving: str) -> DataFrame:
@@ -97,23 +102,32 @@ def _encoded(rows: DataFrame, source: str, target: str, fold: bool, moving: str)
     the generator moves along the form to make and does.
     """
     low = lower1 if fold else (lambda c: c)
-    for i in range(5):
+
+    def prefix(i: int) -> Column:
         a = low(F.substring(F.col(source), i + 1, 2_000_000_000) if moving == source else F.col(source))
         b = low(F.substring(F.col(target), i + 1, 2_000_000_000) if moving == target else F.col(target))
-        rows = rows.withColumn(f"lcp{i}", _common(a, b))
-    best, best_suffix = F.lit(0), F.length(target) - F.col("lcp0")
+        return _common(a, b)
+
+    rows = rows.withColumn("__lcp", prefix(0)).withColumn("__best", F.lit(0)).withColumn("__suffix", F.length(target) - F.col("__lcp"))
+    # with nothing but a character to add no prefix is worth its cost; others are tried one after another
+    near = rows.where("__suffix <= 1")
+    far = rows.where("__suffix > 1")
     for i in range(1, 5):
-        rest = F.length(target) - F.col(f"lcp{i}") - (i if moving == target else 0)
-        limit = best_suffix if moving == source else best_suffix + best
+        far = far.withColumn("__at", prefix(i))
+        rest = F.length(target) - F.col("__at") - (i if moving == target else 0)
+        limit = F.col("__suffix") if moving == source else F.col("__suffix") + F.col("__best")
         better = (F.length(moving) > i) & (rest + i < limit)
-        best, best_suffix = F.when(better, F.lit(i)).otherwise(best), F.when(better, rest).otherwise(best_suffix)
-        rows = rows.withColumn("__best", best).withColumn("__suffix", best_suffix)
-        best, best_suffix = F.col("__best"), F.col("__suffix")
-    lcp = F.element_at(F.array(*[F.col(f"lcp{i}") for i in range(5)]), F.col("__best") + 1)
-    drop = [f"lcp{i}" for i in range(5)] + ["__best", "__suffix"]
-    cut = F.length(source) - lcp - (F.col("__best") if moving == source else 0)
-    start = lcp + 1 + (F.col("__best") if moving == target else 0)
-    return rows.withColumn("lcp", lcp).withColumn("cut", cut).withColumn("suffix", F.substring(F.col(target), start, F.length(target))).withColumn("prefix_cut", F.col("__best")).drop(*drop)
+        far = far.withColumn("__better", better).select(
+            *rows.columns[:-3],
+            F.when(F.col("__better"), F.col("__at")).otherwise(F.col("__lcp")).alias("__lcp"),
+            F.when(F.col("__better"), F.lit(i)).otherwise(F.col("__best")).alias("__best"),
+            F.when(F.col("__better"), rest).otherwise(F.col("__suffix")).alias("__suffix"),
+        )
+    rows = near.unionAll(far)
+    lcp, best = F.col("__lcp"), F.col("__best")
+    cut = F.length(source) - lcp - (best if moving == source else 0)
+    start = lcp + 1 + (best if moving == target else 0)
+    return rows.withColumn("lcp", lcp).withColumn("cut", cut).withColumn("suffix", F.substring(F.col(target), start, F.length(target))).withColumn("prefix_cut", best).drop("__lcp", "__best", "__suffix")
 
 
 def _typed(rows: DataFrame, rules: RuleSet, tagset: Tagset, dims: tuple[DataFrame, DataFrame, DataFrame], lemma: Column, homonym: Column) -> DataFrame:
@@ -189,6 +203,7 @@ def compile_generator(source: DataFrame, tagset: Tagset, rules: RuleSet, meta: d
 
 
 def _lexicon(groups: DataFrame, dims: tuple[DataFrame, DataFrame, DataFrame], rules: RuleSet, generator: bool, meta: dict[str, str] | None) -> Lexicon:
+    groups = stored(groups, "groups")
     longest = groups.agg(F.max(F.length("lex_key"))).first()[0] or 0
     meta = meta or {}
     return Lexicon(groups, *dims, rules, generator, int(longest), meta.get("dict_id", ""), meta.get("copyright", ""))
@@ -200,8 +215,11 @@ def save(lexicon: Lexicon, path: str, buckets: int | None = None) -> None:
     groups.sortWithinPartitions("lex_key").write.mode("overwrite").parquet(f"{path}/groups")
     for name in ("tags", "names", "labels"):
         getattr(lexicon, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    meta = [(lexicon.longest_key, lexicon.dict_id, lexicon.copyright)]
+    groups.sparkSession.createDataFrame(meta, "longest_key int, dict_id string, copyright string").write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str, rules: RuleSet, generator: bool) -> Lexicon:
     groups, *dims = (spark.read.parquet(f"{path}/{n}") for n in ("groups", "tags", "names", "labels"))
-    return _lexicon(groups, tuple(dims), rules, generator, None)
+    meta = spark.read.parquet(f"{path}/meta").first()
+    return Lexicon(groups, *dims, rules, generator, meta["longest_key"], meta["dict_id"], meta["copyright"])

@@ -1,8 +1,8 @@
 """The engine's queries over the driver's tables, each with its SQL.
 
 The tables hold no dictionary, so a lexicon is made from the documents: the
-distinct alphabetic words of those with an even id, with a lemma two characters
-shorter and a tag by length.  Rules accept a word, a mark, or a word and a mark.
+distinct alphabetic words, with a lemma two characters shorter and a tag by
+length; other words stay unknown.  Rules accept a word, a mark, or a word and a mark.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary entries made from the documents, and the two marks."""
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    docs = _table(spark, sf_dir, "documents")
     word = docs.select(F.explode(tx.words(F.col("text"))).alias("t")).select(F.lower("t").alias("orth")).distinct()
     word = word.where(F.col("orth").rlike(_LETTERS))
     n = F.length("orth")
@@ -65,15 +65,14 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyzer(spark: SparkSession, sf_dir: str) -> lx.Lexicon:
-    made = lx.compile_analyzer(stored(entries(spark, sf_dir), "entries"), TAGS, rl.compile_rules(RULES))
-    return lx.Lexicon(**{**made.__dict__, "groups": stored(made.groups, "groups")})
+    return lx.compile_analyzer(stored(entries(spark, sf_dir), "entries"), TAGS, rl.compile_rules(RULES))
 
 
 _LEX = rf"""
 lexicon AS (
   SELECT orth, left(orth, greatest(length(orth) - 2, 1)::INT) AS base, (ARRAY['adj:sg.pl:nom', 'adv:pos', 'subst:sg:_', 'verb:fin'])[length(orth) % 4 + 1] AS tag,
     [10, 11, 12, 13][length(orth) % 4 + 1]::INT AS tag_id, CASE WHEN length(orth) % 5 = 0 THEN 'five' ELSE '_' END AS name, CASE WHEN length(orth) >= 8 THEN 'long|word' ELSE '_' END AS labels
-  FROM (SELECT DISTINCT lower(t) AS orth FROM (SELECT unnest(string_split_regex(text, '{_WS}')) AS t FROM documents WHERE doc_id % 2 = 0))
+  FROM (SELECT DISTINCT lower(t) AS orth FROM (SELECT unnest(string_split_regex(text, '{_WS}')) AS t FROM documents))
   WHERE regexp_matches(orth, '{_LETTERS}')
   UNION ALL SELECT m, m, 'interp', 2, '_', '_' FROM (VALUES (','), ('.')) v(m))"""
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexigraph.errors import InvalidDictionary
 
 _BEGIN, _END = "#<COPYRIGHT>", "#</COPYRIGHT>"
+#: Copyright blocks of all sources together.
+MAX_BLOCKS = 10_000
 
 
 def lines_of(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -51,6 +53,23 @@ def metadata(lines: list[str]) -> dict[str, str]:
     return found
 
 
+def _blocks(trimmed: DataFrame) -> list[tuple[int, int]]:
+    """(first, last) src_ord of every copyright block."""
+    marks = trimmed.where(F.col("line").isin(_BEGIN, _END)).orderBy("src_ord").limit(MAX_BLOCKS * 2 + 1).collect()
+    if len(marks) > MAX_BLOCKS * 2:
+        raise InvalidDictionary("too many copyright blocks")
+    found, begin = [], None
+    for row in marks:
+        if (row["line"] == _BEGIN) == (begin is not None):
+            raise InvalidDictionary("a copyright block begins inside another" if begin is not None else "a copyright block ends before it begins")
+        if begin is not None:
+            found.append((begin, row["src_ord"]))
+        begin = row["src_ord"] if begin is None else None
+    if begin is not None:
+        raise InvalidDictionary("a copyright block is not closed")
+    return found
+
+
 def entries(lines: DataFrame) -> DataFrame:
     """(src_ord, orth, base, tag, name, qualifier) of the lines that are entries.
 
@@ -59,10 +78,9 @@ def entries(lines: DataFrame) -> DataFrame:
     to five fields is an error when the rows are read.
     """
     trimmed = lines.select("src_ord", F.trim("line", F.lit(" \t\r\n")).alias("line"))
-    ends = trimmed.where(F.col("line").isin(_BEGIN, _END)).agg(
-        F.min(F.when(F.col("line") == _BEGIN, F.col("src_ord"))).alias("a"), F.max(F.when(F.col("line") == _END, F.col("src_ord"))).alias("b")
-    )
-    outside = trimmed.join(F.broadcast(ends), (F.col("a").isNull()) | (F.col("src_ord") < F.col("a")) | (F.col("src_ord") > F.col("b")))
+    blocks = _blocks(trimmed)
+    spans = trimmed.sparkSession.createDataFrame(blocks, "a bigint, b bigint")
+    outside = trimmed.join(F.broadcast(spans), (F.col("src_ord") >= F.col("a")) & (F.col("src_ord") <= F.col("b")), "left_anti") if blocks else trimmed
     f = F.split("line", "\t")
     fields = outside.where("line <> ''").select("src_ord", "line", f.alias("f"))
     kept = fields.where(~F.contains(F.concat(F.get("f", F.lit(0)), F.coalesce(F.get("f", F.lit(1)), F.lit(""))), F.lit(" ")))

@@ -100,6 +100,20 @@ def test_warc_round_trip(spark):
     assert warc.write(pages.limit(0), empty) == [] and warc.read(spark, empty).count() == 0
 
 
+def test_warc_keeps_rows_that_share_an_id_and_outlying_ids(spark):
+    rows = [(2, "", "aa"), (5, "u", "aa"), (5, "u", "zz"), (2, "u", "aa"), (9 * 10**17, "u", "aa"), (-9 * 10**17, "u", "qq")] + [(100 + i, "u", "x" * 3000 + str(i % 50)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    root = f"file://{tempfile.mkdtemp()}"
+    made = warc.write(pages, root, part_bytes=100_000)
+    assert warc.write(pages.repartition(5), f"file://{tempfile.mkdtemp()}", part_bytes=100_000) == made and len(made) >= 10
+    got = warc.read(spark, root).collect()
+    text = {r["payload_digest"]: r["payload"] for r in got if r["record_type"] == "response"}
+    assert sorted((r["page_id"], bytes(text[r["payload_digest"]]).decode()) for r in got) == sorted((i, t) for i, _, t in rows)
+    assert sum(r["record_type"] == "response" for r in got) == 53
+    assert sorted(str(r["refers_to"]) for r in got if r["page_id"] in (2, 5)) == ["2", "2", "None", "None"]
+    assert "" in {r["url"] for r in got}
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><nav><ul><li><a href=/>Menu</a></ul></nav><header>Site</header><article><h1>Head &amp; more</h1><p><b>bold \n text<br>line<p>For.<aside>side</aside><div class='comments'>reader</div><form>f<input></form></article><div class=ad>buy</div><footer>&copy;</footer>"
     flat = "<div id=menu><a href=1>a</a></div><p>One long line of real text in a page without any article element.<p>Two is long as well, as such lines tend to be.<div class=notice>cookies</div>"

@@ -1,13 +1,18 @@
-"""Benchmark passages in documents, by shared stretches and exact edit distance.
+"""Benchmark passages in documents, by CGK embedding, bit sampling and exact edit distance.
 
 Texts are word sequences (lower case, punctuation at the ends of a word
-dropped).  An item of which at most e words may be edited is cut into e + 1
-stretches over its whole length.  An edit changes one stretch at most, so every
-copy within the threshold, wherever its edits lie, holds one stretch unchanged.
-The first words of each stretch (``SEED`` at most) are a hash key; a place of a
-document with these words is a candidate for the item at the stretch's offset.
-Each candidate is verified by the exact edit distance of the item to the best
-window that can hold it.  So candidates are complete, and the result is exact.
+dropped).  A CGK walk embeds a window of words: at step j it emits the word
+under its pointer, and moves on if the j-th random bit of that word is set.  Two
+windows of small edit distance mostly fall into step again after an edit, so
+their embeddings differ in few places (Hamming distance).  Each of ``WALKS``
+repetitions has its own bits and samples a few of the steps; windows that agree
+in the sampled steps of one repetition are candidates.  An item is cut into
+windows of up to half its length at every offset, and a document has one at
+every word, so edits at any place leave many windows that can agree.  Items of
+so few words that none may be edited are one window that must agree as a whole.
+Each candidate is verified by the exact edit distance of the whole item to the
+best stretch that can hold it; so what is found is right, and what is missed is
+the share that the README gives by item length and by place of the edits.
 
 Items are held in blocks of bounded size; a larger benchmark takes more passes
 over the documents, never a larger broadcast.
@@ -31,10 +36,12 @@ from lexigraph.llm.common import pieces
 
 #: Largest share of an item's words that may be edited.
 SHARE = 0.15
-#: Most words of a stretch in its hash key.
-SEED = 8
+#: Repetitions of the walk, lengths of windows in words, and sampled steps.
+WALKS, WINDOWS, SAMPLES = 12, (3, 4, 6, 8, 12, 16), 5
 #: Items and characters of a block.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+BLOCK_ITEMS, BLOCK_CHARS = 10_000, 2_000_000
+#: log2 of the places of the filter of neighbouring words.
+_PAIR_BITS = 22
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 
@@ -85,15 +92,13 @@ class Index:
         self.ids = [i for i, _ in split]
         self.items = [np.array([known[x] for x in w], dtype=np.int32) for _, w in split]
         self.edits = [int(share * len(x)) for x in self.items]
-        seeds: dict[int, list[tuple[int, int]]] = {}  # length -> (item, offset)
+        whole: dict[int, list[int]] = {}  # length -> items that allow no edit
         for k, x in enumerate(self.items):
-            parts = min(self.edits[k] + 1, len(x))
-            bounds = [len(x) * j // parts for j in range(parts + 1)]
-            for low, high in zip(bounds, bounds[1:]):
-                seeds.setdefault(min(high - low, SEED), []).append((k, low))
-        self.tables = []
-        for length, own in sorted(seeds.items()):
-            rows = np.array([self.items[k][o : o + length] for k, o in own]).T
+            if not self.edits[k]:
+                whole.setdefault(len(x), []).append(k)
+        self.whole = []
+        for length, own in sorted(whole.items()):
+            rows = np.array([self.items[k] for k in own]).T
             at = []  # for each place in a key, which words stand there
             for row in rows:
                 here = np.zeros(len(known) + 1, dtype=bool)
@@ -101,7 +106,54 @@ class Index:
                 at.append(here)
             folded = self._fold(rows)
             order = np.argsort(folded, kind="stable")
-            self.tables.append((at, folded[order], np.array(own)[order]))
+            self.whole.append((at, folded[order], np.array(own)[order]))
+        rng = np.random.default_rng(20240611)
+        self.bits = rng.integers(0, 2**63, (WALKS, len(known) + 1), dtype=np.int64)
+        self.steps = {(w, size): np.sort(rng.choice(2 * size, min(SAMPLES, size + 1), replace=False)) for w in range(WALKS) for size in WINDOWS}
+        self._index_windows()
+
+    def _index_windows(self) -> None:
+        long = [k for k in range(len(self.items)) if self.edits[k]]
+        gap = np.zeros(2 * WINDOWS[-1], dtype=np.int32)
+        flat = np.concatenate([gap[:0], *(part for k in long for part in (self.items[k], gap))])
+        self.pairs = np.zeros(1 << _PAIR_BITS, dtype=bool)
+        self.pairs[self._pair(flat)[(flat[:-1] > 0) & (flat[1:] > 0)]] = True
+        place, owner, offset, size_of = [], [], [], []
+        at = 0
+        for k in long:
+            n = len(self.items[k])
+            size = max(s for s in WINDOWS if s <= max(3, n // 2))
+            starts = np.arange(n - size + 1)
+            place.append(at + starts)
+            offset.append(starts)
+            owner.append(np.full(len(starts), k))
+            size_of.append(np.full(len(starts), size))
+            at += n + len(gap)
+        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        if not long:
+            return
+        place, owner, offset, size_of = (np.concatenate(x) for x in (place, owner, offset, size_of))
+        for walk in range(WALKS):
+            for size, keys, inside in self._keys(flat, place, walk, np.unique(size_of).tolist(), True):
+                mine = inside & (size_of == size)  # a walk that left its item would meet other words in a document
+                order = np.argsort(keys[mine], kind="stable")
+                self.tables[walk, size] = keys[mine][order], np.stack([owner[mine], offset[mine]], axis=1)[order]
+
+    @staticmethod
+    def _pair(flat: np.ndarray) -> np.ndarray:
+        h = flat[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + flat[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+
+    def _keys(self, flat: np.ndarray, place: np.ndarray, walk: int, sizes: list[int], judged: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+        """(window size, key of every place, whether the sampled steps were all on words) of one repetition."""
+        bits, pointer, rows = self.bits[walk], place.copy(), []
+        for step in range(2 * max(sizes)):
+            row = flat[pointer]
+            rows.append(row)
+            pointer += (bits[row] >> step) & 1
+        for size in sizes:
+            seen = np.stack([rows[j] for j in self.steps[walk, size]])
+            yield size, self._fold(seen), (seen > 0).all(axis=0) if judged else None
 
     @staticmethod
     def _fold(rows: np.ndarray) -> np.ndarray:
@@ -111,18 +163,33 @@ class Index:
             h ^= h >> np.uint64(29)
         return h
 
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (place, item, offset): the item's stretch at the offset begins at the place; after each text are SEED zeros at least."""
+    @staticmethod
+    def _met(folded: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number in h, number in folded) of equal keys; ``folded`` is sorted."""
+        low, high = np.searchsorted(folded, h), np.searchsorted(folded, h, side="right")
+        n = high - low
+        return np.repeat(np.arange(len(h)), n), np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def candidates(self, flat: np.ndarray) -> np.ndarray:
+        """Rows (place, item, offset): the item's window at the offset may begin at the place; after each text are zeros."""
         found = [np.zeros((0, 3), dtype=np.int64)]
-        for at, folded, own in self.tables:
-            hit = np.flatnonzero(at[0][ids])
+        for at, folded, own in self.whole:
+            hit = np.flatnonzero(at[0][flat])
             for j in range(1, len(at)):
-                hit = hit[at[j][ids[hit + j]]]
-            h = self._fold(np.stack([ids[hit + j] for j in range(len(at))]))
-            low, high = np.searchsorted(folded, h), np.searchsorted(folded, h, side="right")
-            n = high - low
-            line = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append(np.concatenate([np.repeat(hit, n)[:, None], own[line]], axis=1))
+                hit = hit[at[j][flat[hit + j]]]
+            text, line = self._met(folded, self._fold(np.stack([flat[hit + j] for j in range(len(at))])))
+            found.append(np.stack([hit[text], own[line], np.zeros(len(line), np.int64)], axis=1))
+        if self.tables:
+            # a window begins with two words that are neighbours in an item: of an item's windows only those after an edit do not
+            start = np.flatnonzero((flat[:-1] > 0) & self.pairs[self._pair(flat)])
+            sizes = sorted({size for _, size in self.tables})
+            for low in range(0, len(start), 1 << 16):
+                place = start[low : low + (1 << 16)]
+                for walk in range(WALKS):
+                    for size, keys, _ in self._keys(flat, place, walk, sizes):
+                        folded, rows = self.tables[walk, size]
+                        text, line = self._met(folded, keys)
+                        found.append(np.concatenate([place[text][:, None], rows[line]], axis=1))
         return np.concatenate(found)
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
@@ -137,23 +204,21 @@ class Index:
             parts += [ids, gap]
             total += len(ids) + len(gap)
             ends.append(total)
-        if not parts or not self.tables:
+        if not parts or not self.items:
             return []
         flat = np.concatenate(parts)
         limits = np.array(ends)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        done: set[tuple[int, int]] = set()
-        for place, item, offset in sorted(self.candidates(flat).tolist()):
-            row = int(np.searchsorted(limits, place, side="right"))
+        place, item_, offset = self.candidates(flat).T
+        row_ = np.searchsorted(limits, place, side="right")
+        begin = np.concatenate([[0], limits])[row_]
+        # edits before the window move the item's begin by their number at most
+        group_ = np.maximum(begin, place - offset - np.array(self.edits)[item_]) // 8
+        for row, group, item in np.unique(np.stack([row_, group_, item_], axis=1), axis=0).tolist():
             words_, edits = self.items[item], self.edits[item]
             if best.get((row, item), (edits + 1, 0))[0] == 0:
                 continue
             low = limits[row - 1] if row else 0
-            # edits before the stretch move the item's begin by their number at most
-            group = max(low, place - offset - edits) // 8
-            if (group, item) in done:
-                continue
-            done.add((group, item))
             a = max(low, group * 8)
             b = min(limits[row] - len(gap), group * 8 + 8 + len(words_) + 2 * edits)
             stretch = flat[a:b]

@@ -76,6 +76,31 @@ def test_decontamination_wherever_the_edits_are(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(len(items))}
 
 
+def test_decontamination_against_exact_distances():
+    """Short texts over few words, so that many near misses occur; every pair is measured by edit distance."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 5, 7, 9, 14, 21, 30])))) for i in range(60)]
+    texts: list[str | None] = ["", None]
+    for _, item in items * 3:
+        words = item.split()
+        for _ in range(rng.randrange(0, max(1, len(words) // 5) + 1)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randrange(2)] = rng.choices(vocabulary, k=rng.randrange(2))
+            words = words or ["w0"]
+        texts.append(" ".join(rng.choices(vocabulary, k=rng.randrange(9)) + words + rng.choices(vocabulary, k=rng.randrange(9))))
+    number = {w: i + 1 for i, w in enumerate(vocabulary)}
+    coded = lambda t: np.array([number[w] for w in (t or "").split()], dtype=np.int32)
+    want = {}
+    for r, text in enumerate(texts):
+        for i, item in items:
+            distance = decontaminate.edit_distance_within(coded(item), coded(text))[0]
+            if distance <= int(decontaminate.SHARE * len(item.split())):
+                want[r, i] = distance
+    got = {(r, i): d for r, i, d, _ in decontaminate.Index(items).find(texts)}
+    assert got.items() <= want.items() and len(got) >= 0.99 * len(want) and len(want) > 150
+
+
 def test_decontamination_after_a_quote_at_the_begin():
     item = [f"w{i}" for i in range(200)]
     for quoted, between in ((10, 60), (12, 75), (30, 40)):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from lexigraph.llm import ragged
-from lexigraph.llm.common import pieces
+from lexigraph.llm.common import free_name, pieces
 
 _NONE = np.int32(2**31 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -288,9 +288,10 @@ def encode(df: DataFrame, text_col: str, path: str, pattern: str, ids_col: str =
     The text column is replaced by the outputs; other columns pass through.
     """
     outputs = {ids_col, bytes_col}
-    carried = [c for c in df.columns if c != text_col and c not in outputs]
-    source = df.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
-    fields = [f for f in source.schema.fields if f.name != "__text"]
+    carried = [c for c in df.columns if c != text_col and c.lower() not in {o.lower() for o in outputs if o}]
+    name = free_name(df, "text_")
+    source = df.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(name))
+    fields = [f for f in source.schema.fields if f.name != name]
     fields.append(StructField(ids_col, ArrayType(IntegerType(), False), False))
     if bytes_col:
         fields.append(StructField(bytes_col, BinaryType(), False))
@@ -315,9 +316,10 @@ def encode(df: DataFrame, text_col: str, path: str, pattern: str, ids_col: str =
 
 def decode(df: DataFrame, ids_col: str, path: str, pattern: str, bytes_col: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for; null ids count as none."""
-    carried = [c for c in df.columns if c not in (ids_col, bytes_col)]
-    source = df.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>")).alias("__ids"))
-    fields = [f for f in source.schema.fields if f.name != "__ids"] + [StructField(bytes_col, BinaryType(), False)]
+    carried = [c for c in df.columns if c.lower() not in (ids_col.lower(), bytes_col.lower())]
+    name = free_name(df, "ids_")
+    source = df.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>")).alias(name))
+    fields = [f for f in source.schema.fields if f.name != name] + [StructField(bytes_col, BinaryType(), False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lexigraph.llm.common import pieces
+from lexigraph.llm.common import free_name, pieces
 
 RADIUS = 3
 SIGMA = 1.5
@@ -47,7 +48,13 @@ _NOISE = frozenset(
     "breadcrumb breadcrumbs sidebar sidebars widget widgets footer comment comments commentlist replies disqus respond cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations search login pagination pager toolbar skip".split()
 )
+#: Words that only say what kind of box a noise word names: ``comment-list`` is noise, ``related-work`` is not.
+_BOX = frozenset(
+    "area bar block body bottom box boxes button buttons card column container content feed form global grid group holder icon inline inner item items left link links list main message "
+    "module outer page panel post posts primary region right rail row secondary section site slot small sticky strip text title thread top unit view wide wrap wrapper js id".split()
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
+_NOISE_OR_BOX = _NOISE | _BOX
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -67,8 +74,10 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]], in_content: bool) -
         if name in ("class", "id"):
             if tag in _CONTENT:
                 continue
-            if not _NOISE.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-                return True
+            for token in value.split():
+                named = {w.lower() for w in _WORDS.findall(token) if not w.isdigit()}
+                if not _NOISE.isdisjoint(named) and named <= _NOISE_OR_BOX:
+                    return True
             if "header" in value.lower().split() and not in_content:
                 return True
         elif name == "role" and value.lower() in _ROLES:
@@ -85,6 +94,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
         self._open: list[tuple[str, bool, int]] = []  # tag, begins noise, content element
+        self._count: Counter[str] = Counter()  # of the open tags
         self._noise = 0
         self._content = 0
         self._contents = 0
@@ -100,6 +110,7 @@ class _Lines(HTMLParser):
 
     def _pop(self) -> None:
         tag, noise, before = self._open.pop()
+        self._count[tag] -= 1
         if tag in _BLOCK:
             self._flush()
         self._noise -= noise
@@ -114,12 +125,13 @@ class _Lines(HTMLParser):
                 self._pop()
         if tag in _VOID:
             return
-        if tag in ("body", "article", "main") and any(x[0] == "head" for x in self._open):
-            while self._open and self._open.pop()[0] != "head":
-                pass
-            self._noise = sum(x[1] for x in self._open)
+        if tag in ("body", "article", "main") and self._count["head"]:
+            while self._open and self._open[-1][0] != "head":
+                self._pop()
+            self._pop()
         noise = _is_noise(tag, attrs, self._content > 0)
         self._open.append((tag, noise, self._content))
+        self._count[tag] += 1
         self._noise += noise
         if tag in _CONTENT and not self._content and not self._noise:
             self._contents += 1
@@ -141,6 +153,8 @@ class _Lines(HTMLParser):
         self._tags += 1
         if tag in _BLOCK and not self._noise:
             self._flush()
+        if not self._count[tag]:
+            return
         for i in range(len(self._open) - 1, -1, -1):
             name = self._open[i][0]
             if name == tag:
@@ -207,8 +221,8 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """All columns but the html, with the text and its length in code points (``n_chars``)."""
-    carried = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]
-    source = pages.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{html_col}`").cast("string").alias("__html"))
+    carried = [c for c in pages.columns if c.lower() not in (html_col.lower(), text_col.lower(), "n_chars")]
+    source = pages.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{html_col}`").cast("string").alias(free_name(pages, "html_")))
     fields = [*source.schema.fields[:-1], StructField(text_col, StringType()), StructField("n_chars", LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

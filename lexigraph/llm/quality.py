@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexigraph.llm.common import pieces
+from lexigraph.llm.common import free_name, pieces
 
 #: Labelled rows that training may use; the sample is taken by hash order.
 TRAIN_ROWS = 20_000
@@ -177,7 +177,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, held_
 
 def score(documents: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
     """Add the score to every row, as the last column; an equally named column is dropped."""
-    carried = [c for c in documents.columns if c != score_col]
+    carried = [c for c in documents.columns if c.lower() != score_col.lower()]
     source = documents.select(*[F.col(f"`{c}`") for c in carried])
     at = carried.index("text")
 
@@ -191,6 +191,6 @@ def score(documents: DataFrame, model: Model, score_col: str = "score") -> DataF
 
 def keep_good(documents: DataFrame, model: Model) -> DataFrame:
     """Documents whose score reaches the cut, with their own columns."""
-    mark = "__quality_score"
+    mark = free_name(documents, "quality_score")
     columns = [F.col(f"`{c}`") for c in documents.columns]
     return score(documents, model, mark).where(F.col(mark) >= model.cut).select(*columns)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lexigraph.llm import ragged
-from lexigraph.llm.common import bit_filter, pieces, stored
+from lexigraph.llm.common import bit_filter, free_name, pieces, stored
 
 LENGTH = 100
 GRAM = 28
@@ -207,12 +207,14 @@ def _cut(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, whole_cha
 def cut(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, whole_characters: bool = False) -> DataFrame:
     """All columns of the documents and ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``.
 
+    Columns of the documents with these names, in any case, are dropped.
+
     With ``whole_characters`` a character that is only partly covered stays.
     """
     names = list(documents.columns)
-    key, raw, lo, hi = "__doc", "__raw", "__lo", "__hi"
+    key, raw, lo, hi = (free_name(documents, n) for n in ("doc_", "raw_", "lo_", "hi_"))
     outputs = ["kept", "n_bytes", "n_removed", "n_spans"]
-    carried = [c for c in names if c not in outputs]
+    carried = [c for c in names if c.lower() not in outputs]
     runs = stored(repeated_windows(documents, length, gram).groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "repeat-runs")
     maybe = bit_filter(runs.select("doc_id"), "doc_id")
     source = documents.select(*[F.col(f"`{c}`") for c in carried], F.col("doc_id").cast("bigint").alias(key), F.col("text").cast("binary").alias(raw))
@@ -265,10 +267,13 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A column ``n_chars`` follows the new text.
     """
-    done = cut(documents, length, whole_characters=True)
+    names = documents.columns
+    # other columns travel under names of their own, so that none clashes with those of the result
+    plain = documents.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(names) if c not in ("text", "n_chars")])
+    done = cut(plain, length, whole_characters=True)
     text = F.col("kept").cast("string")
     new = {"text": text.alias("text"), "n_chars": F.length(text).cast("bigint").alias("n_chars")}
-    return done.select(*[new.get(c, F.col(f"`{c}`")) for c in documents.columns])
+    return done.select(*[new[c] if c in new else F.col(f"carried_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple[int, int, int, int, str]]:

@@ -150,6 +150,14 @@ def test_html(spark):
     assert got[2] == got[3] == ("", 0) and got[5][0] == " ".join("a" * 5000)
 
 
+def test_html_keeps_paragraphs_whose_class_only_sounds_like_noise(spark):
+    page = "<article><p class='related-work'>one</p><div id='search-trees'><p>two</p></div><p>three</p><div class='comment-list'>no</div><div class='cookieBanner'>no</div></article>"
+    assert html_text.main_text(page) == "one two three"
+    df = spark.createDataFrame([(1, "<p>a</p>", 9)], "page_id bigint, html string, N_Chars int")
+    assert [r.asDict() for r in html_text.extract(df).collect()] == [{"page_id": 1, "text": "a", "n_chars": 1}] and html_text.extract(df.limit(0)).count() == 0
+    assert html_text.main_text("<div>" * 20000 + "</b>" * 20000 + "x") == "x"
+
+
 def test_html_after_an_unknown_marked_section():
     for section in ("<![vml]>", "<![ if IE ]>", "<![endif]>", "<![CDATA[x]]>", "<![1]>"):
         assert html_text.main_text(f"<p>one line of text</p>{section}<p>two lines of text</p>") == "one line of text two lines of text"
@@ -202,6 +210,9 @@ def test_repeats(spark):
     assert got == repeats.brute_force(list(enumerate(texts)))
     kept = repeats.without_repeats(docs(spark, texts)).collect()
     assert len(kept) == len(texts) and "�" not in "".join(r["text"] for r in kept)
+    assert {r["kept"] for r in kept} == {"k"}  # a column of the documents, not of the operator
+    clash = docs(spark, texts).withColumn("N_Removed", F.lit(7)).drop("kept").withColumn("Kept", F.lit("mine"))
+    assert {(r["Kept"], r["N_Removed"]) for r in repeats.without_repeats(clash).collect()} == {("mine", 7)}
     assert repeats.digests(docs(spark, [])).count() == 0
 
 

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lexigraph.llm import attention_lm, bpe, decontaminate, html_text, near_duplicates, preferences, quality, repeats, topk, warc
+from lexigraph.llm import attention_lm, bpe, decontaminate, html_text, near_duplicates, preferences, quality, repeats, run_length, topk, warc
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id bigint, text string, ids string, score string, h string, kept string, n bigint"
@@ -216,6 +216,26 @@ def test_repeats(spark):
     assert repeats.digests(docs(spark, [])).count() == 0
 
 
+def test_run_length_index():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab", k=rng.randrange(0, 60))).encode() for _ in range(40)] + [b"", b"abab" * 30, "żółć".encode() * 9] * 2
+    for length in (1, 5, 12):
+        for shard in (1, 300, 10**6):
+            seen, want = set(), []
+            for t in texts:
+                starts = []
+                for i in range(len(t) - length + 1):
+                    if t[i : i + length] in seen:
+                        starts.append(i)
+                    seen.add(t[i : i + length])
+                want.append(starts)
+            assert [x.tolist() for x in run_length.repeated_starts(texts, shard, length)] == want
+    corpus, pattern = texts[:20], texts[20:]
+    for t, got in zip(pattern, run_length.RunLengthIndex(corpus, 12).matching(pattern)):
+        longest = [max(k for k in range(0, 13) if i + k <= len(t) and any(t[i : i + k] in c for c in corpus)) for i in range(len(t))]
+        assert got.tolist() == longest
+
+
 def _jaccard(texts):
     sets = []
     for t in texts:

@@ -215,11 +215,12 @@ def save(lexicon: Lexicon, path: str, buckets: int | None = None) -> None:
     groups.sortWithinPartitions("lex_key").write.mode("overwrite").parquet(f"{path}/groups")
     for name in ("tags", "names", "labels"):
         getattr(lexicon, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    meta = [(lexicon.longest_key, lexicon.dict_id, lexicon.copyright)]
-    groups.sparkSession.createDataFrame(meta, "longest_key int, dict_id string, copyright string").write.mode("overwrite").parquet(f"{path}/meta")
+    meta = [(lexicon.longest_key, lexicon.dict_id, lexicon.copyright, lexicon.generator, lexicon.rules.to_json())]
+    groups.sparkSession.createDataFrame(meta, "longest_key int, dict_id string, copyright string, generator boolean, rules string").write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def load(spark: SparkSession, path: str, rules: RuleSet, generator: bool) -> Lexicon:
+def load(spark: SparkSession, path: str) -> Lexicon:
+    """A saved lexicon, with its rules and what is known about its source."""
     groups, *dims = (spark.read.parquet(f"{path}/{n}") for n in ("groups", "tags", "names", "labels"))
     meta = spark.read.parquet(f"{path}/meta").first()
-    return Lexicon(groups, *dims, rules, generator, meta["longest_key"], meta["dict_id"], meta["copyright"])
+    return Lexicon(groups, *dims, RuleSet.from_json(meta["rules"]), meta["generator"], meta["longest_key"], meta["dict_id"], meta["copyright"])

@@ -8,8 +8,9 @@ of its own; its transitions are rows that queries join.
 from __future__ import annotations
 
 import itertools
+import json
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -299,6 +300,16 @@ class RuleSet:
                 return v
         raise InvalidArgument(f"the rules have no variant {wanted}")
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self) | {"lemma_is_orth": sorted(self.lemma_is_orth), "extra_type": sorted(self.extra_type.items())})
+
+    @staticmethod
+    def from_json(text: str) -> "RuleSet":
+        read = json.loads(text)
+        patterns = [Pattern(**p | {"labels": tuple(p["labels"])}) for p in read["patterns"]]
+        variants = [Variant(v["options"], [tuple(r) for r in v["rows"]]) for v in read["variants"]]
+        return RuleSet(read["segment_types"], read["separators"], patterns, variants, set(read["lemma_is_orth"]), {k: v for k, v in read["extra_type"]})
+
     def option_values(self, key: str) -> list[str]:
         return sorted({v.options[key] for v in self.variants if key in v.options})
 
@@ -490,3 +501,11 @@ def compile_rules(text: str, generator: bool = False) -> RuleSet:
     variants = [Variant(o, _automaton([relabel(r) for r in rules], numbers)) for o, rules in parsed]
     extended = names + [names[k] + ">" for k in extra]
     return RuleSet(extended, separators, patterns + of_tags, variants, lemma_is_orth, extra)
+
+
+_WHOLE_WORDS = "[options]\naggl=strict\npraet=split\n[combinations]\nany\n[segment types]\nany\n[lexemes]\n[tags]\nany\t%\n"
+
+
+def whole_words(generator: bool = False) -> RuleSet:
+    """For a lexicon without rules: a word is one segment, so analysis and generation are plain lookups."""
+    return compile_rules(_WHOLE_WORDS, generator)

@@ -31,7 +31,7 @@ import base64
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import chain
 
 import numpy as np
@@ -52,7 +52,7 @@ DISCOUNT, BACKOFF = 0.75, 1.0
 #: A word at least this share of all training tokens is looked up in memory: at most its inverse many words.
 FREQUENT = 1 / 1_600_000
 #: Words whose ids a worker keeps; beyond, it starts anew.
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 300_000
 #: log2 of the places of the table of frequent words.
 _TABLE_BITS = 21
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
@@ -516,8 +516,12 @@ def train(first: DataFrame, path: str) -> Weights:
     table[pairs["cell"].to_numpy()] = pairs["n"].to_numpy()
     start = assemble(n, row, table.reshape(ROWS, ROWS))
 
+    # what training does not read stays on the driver
+    sent = replace(start, follow=np.zeros((0, 0), np.float32), inner=np.zeros(0))
+
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Weights(**{k: np.copy(getattr(start, k)) if k in Weights.NAMES else getattr(start, k) for k in start.__dataclass_fields__ if k != "tables"})
+        _KEPT.clear()
+        mine = replace(sent, **{k: np.copy(getattr(sent, k)) for k in Weights.NAMES})
         trainer = Trainer(mine)
         trainer.texts(_unpacked(batch.column(0), kind) for batch in pieces(batches))
         if trainer.tokens:

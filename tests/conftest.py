@@ -22,19 +22,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture(autouse=True)
-def interpreted(request):
-    """Plans over a handful of rows: compiling them would take most of the time."""
-    if "spark" not in request.fixturenames or "llm" in str(request.path):
-        yield
-        return
-    conf = request.getfixturevalue("spark").conf
-    names = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"}
-    before = {k: conf.get(k) for k in names}
-    for k, v in names.items():
-        conf.set(k, v)
-    yield
-    for k, v in before.items():
-        conf.set(k, v)

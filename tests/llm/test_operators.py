@@ -265,6 +265,49 @@ def test_near_duplicates(spark):
     assert near_duplicates.similar(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot, side, n, length, edits", [(256, 512, 500, 70, 6), (3, 5, 70, 45, 6), (6, 9, 60, 30, 5)])
+def test_near_duplicates_in_a_large_cluster(spark, monkeypatch, hot, side, n, length, edits):
+    """Copies of one text, few of them equal: no rows for pairs of them, and the links of all."""
+    monkeypatch.setattr(near_duplicates, "HOT", hot)
+    monkeypatch.setattr(near_duplicates, "SIDE", side)
+    monkeypatch.setattr(near_duplicates, "CELL", side)
+    rows, stored = {}, near_duplicates.stored
+
+    def counted(df, label):
+        rows[label] = (out := stored(df, label)).count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    rng = random.Random(n)
+    words = rng.choices([f"w{i}" for i in range(900)], k=length)
+    texts = [" ".join(rng.choices(words, k=length)) for _ in range(9)]
+    for i in range(n):
+        copy = list(words)
+        for _ in range(rng.randrange(0, edits)):
+            copy[rng.randrange(length)] = f"x{rng.randrange(60)}"
+        if i % 10 == 0:
+            copy = copy[rng.randrange(0, 4) :]
+        texts.append(" ".join(copy))
+    got = near_duplicates.similar(docs(spark, texts)).select("doc_id", "n_shingles", "n_similar", "component_id").collect()
+    assert sorted(map(tuple, got)) == _jaccard(texts)
+    assert rows["near-stars"] > 10 and (hot < 256 or rows["near-pairs"] + rows["near-links"] < 20 * n)
+
+
+def test_near_duplicates_with_repeated_ids_in_a_large_cluster(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(50)]
+    rows = []
+    for i in range(60):
+        copy = list(words)
+        for _ in range(rng.randrange(0, 5)):
+            copy[rng.randrange(50)] = f"x{rng.randrange(60)}"
+        rows.append((i % 50, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = sorted(map(tuple, near_duplicates.similar(frame).collect()))
+    monkeypatch.setattr(near_duplicates, "HOT", 4)
+    assert sorted(map(tuple, near_duplicates.similar(frame).collect())) == plain
+
+
 def test_language_model(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choices(["alpha", "beta", "Gamma", "delta,", "eps"], weights=[9, 5, 3, 2, 1], k=rng.randrange(1, 90))) for _ in range(80)] + ["", None, "Xyzzy " * 3]

@@ -2,6 +2,8 @@
 
 import corpus_pipeline
 
+from lexigraph.llm import near_duplicates
+
 
 def test_stages(spark, tmp_path):
     base = "The road was long and quiet, and it had rained on the hills for days before we came."
@@ -22,3 +24,20 @@ def test_stages(spark, tmp_path):
     assert kept[0] == set(range(13)) | {25}
     assert 12 not in kept[1] and kept[2] == kept[1] and kept[3] == kept[2] - {25} and kept[4] == kept[3]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def test_near_duplicate_stage_makes_no_row_for_a_pair_of_a_large_cluster(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT", 8)
+    rows, stored = {}, near_duplicates.stored
+
+    def counted(df, label):
+        rows[label] = (out := stored(df, label)).count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words)] + [" ".join(w if k != i else f"x{i}" for k, w in enumerate(words)) for i in range(60)] + ["another text that is like none of them"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 61}
+    assert rows["near-pairs"] < 300 and rows["near-links"] < 300

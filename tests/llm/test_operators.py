@@ -293,6 +293,40 @@ def test_near_duplicates_in_a_large_cluster(spark, monkeypatch, hot, side, n, le
     assert rows["near-stars"] > 10 and (hot < 256 or rows["near-pairs"] + rows["near-links"] < 20 * n)
 
 
+def test_near_duplicates_far_from_the_center_of_a_large_cluster(spark, monkeypatch):
+    """Copies that are linked with each other and not with the center make no rows for pairs either."""
+    monkeypatch.setattr(near_duplicates, "HOT", 8)
+    monkeypatch.setattr(near_duplicates, "SIDE", 16)
+    rows, stored = {}, near_duplicates.stored
+
+    def counted(df, label):
+        rows[label] = (out := stored(df, label)).count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(90)]
+    far = words[:58] + [f"y{i}" for i in range(32)]
+    texts = [" ".join(words)]
+    for base, n in ((words, 60), (far, 60)):
+        for i in range(n):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                copy[rng.randrange(90)] = f"x{rng.randrange(60)}"
+            texts.append(" ".join(copy))
+    # farther ones: some with a link or two, some with none
+    for i in range(24):
+        texts.append(" ".join(w if k % 24 != i and k % 11 != i % 11 else f"z{i}" for k, w in enumerate(far if i % 2 else words)))
+    rng.shuffle(texts)
+    want = _jaccard(texts)
+    assert 2 < len({x[3] for x in want}) < 40
+    kept = near_duplicates.keep_one(docs(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [x[0] for x in want if x[0] == x[3]]
+    assert rows["near-pairs"] < 900, rows
+    got = near_duplicates.similar(docs(spark, texts)).select("doc_id", "n_shingles", "n_similar", "component_id").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_near_duplicates_with_repeated_ids_in_a_large_cluster(spark, monkeypatch):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(50)]

@@ -293,6 +293,19 @@ def test_near_duplicates_in_a_large_cluster(spark, monkeypatch, hot, side, n, le
     assert rows["near-stars"] > 10 and (hot < 256 or rows["near-pairs"] + rows["near-links"] < 20 * n)
 
 
+def test_near_duplicates_compare_a_star_in_many_tasks(spark, monkeypatch):
+    """Cells of close copies are left out, and the others do not share the task that reads the small table."""
+    monkeypatch.setattr(near_duplicates, "SIDE", 10)
+    n = 100
+    rows = [(7, i, i, 1, abs(k), k, list(range(i % 5 + 4)), k < 5) for i, k in enumerate(range(-80, n - 80))]
+    stars = spark.createDataFrame(rows, "center bigint, group_id bigint, x bigint, class_size bigint, d bigint, k bigint, delta array<bigint>, inside boolean").coalesce(1)
+    met = near_duplicates._compared(stars, stars, 70, True)
+    want = {(a[2], b[2]) for a in rows for b in rows if a[2] != b[2] and 0 < a[5] + b[5] <= 340 * min(a[4], b[4], len(a[6]), len(b[6]))}
+    assert {(r["x"], r["y"]) for r in met.collect()} == want and met.rdd.getNumPartitions() >= 32
+    both = {(r["x"], r["y"]) for r in near_duplicates._compared(stars.where("not inside"), stars, 70, False).collect()}
+    assert both == {(a[2], b[2]) for a in rows if not a[7] for b in rows if a[2] != b[2] and a[5] + b[5] <= 340 * min(a[4], b[4], len(a[6]), len(b[6]))}
+
+
 def test_near_duplicates_far_from_the_center_of_a_large_cluster(spark, monkeypatch):
     """Copies that are linked with each other and not with the center make no rows for pairs either."""
     monkeypatch.setattr(near_duplicates, "HOT", 8)

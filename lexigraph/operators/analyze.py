@@ -56,12 +56,10 @@ def interpret_words(distinct: DataFrame, lexicon: Lexicon, config: Config) -> tu
     # an edge is a run of glued chunks and the chunk after it
     number = F.transform("path", lambda c, i: F.struct(c.alias("c"), F.size(F.filter(F.slice("path", F.lit(1), i), lambda d: ~d["shift"])).alias("edge"), i.alias("i")))
     chunks = kept.select("word", "low", "path_no", F.size("path").alias("chunks"), F.explode(number).alias("x")).select(
-        "word", "low", "path_no", "chunks", "x.edge", "x.i", "x.c.s", "x.c.e", "x.c.seg_type", (F.col("x.c.shift") & (F.col("x.i") < F.col("chunks") - 1)).alias("glued")
+        "word", "low", "path_no", "chunks", "x.edge", "x.i", "x.c.s", "x.c.e", "x.c.seg_type", "x.c.interps", (F.col("x.c.shift") & (F.col("x.i") < F.col("chunks") - 1)).alias("glued")
     )
-    key = F.substring(F.col("low"), F.col("s") + 1, F.col("e") - F.col("s"))
-    read = chunks.withColumn("lex_key", key).join(lexicon.groups, ["lex_key", "seg_type"])
     # a column of its own: lambdas below refer to it
-    read = read.withColumn("spelt", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")))
+    read = chunks.withColumn("spelt", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")))
     if case == CaseHandling.IGNORE_CASE:
         usable = F.col("interps")
     else:
@@ -82,11 +80,10 @@ def interpret_words(distinct: DataFrame, lexicon: Lexicon, config: Config) -> tu
     whole = (F.col("start") == 0) & (F.col("end") == F.length("word"))
     same = Window.partitionBy("word", "start", "end", F.col("main.s"), F.col("main.seg_type")).orderBy("path_no")
     edges = edges.withColumn("again", F.row_number().over(same)).where(whole | (F.col("again") == 1))
-    at = own.orderBy("start")
-    edges = edges.withColumn("src", F.dense_rank().over(at) - 1)
-    edges = stored(edges.withColumn("nodes", F.max("src").over(own) + 1), "edges")
-    later = edges.select(F.col("word"), F.col("start").alias("end"), F.col("src").alias("next")).distinct()
-    edges = edges.join(later, ["word", "end"], "left").withColumn("dst", F.coalesce("next", "nodes"))
+    # rows are parted by word since the paths were numbered, so nothing here moves them
+    starts, place_of = F.array_sort(F.collect_set("start").over(own)), lambda c: F.array_position("starts", F.col(c)).cast("int")
+    edges = edges.withColumn("starts", starts).withColumn("src", place_of("start") - 1).withColumn("nodes", F.size("starts"))
+    edges = edges.withColumn("dst", F.when(place_of("end") > 0, place_of("end") - 1).otherwise(F.col("nodes")))
     # node 0 keeps the order of paths; a later node lists its first edge, then the others backwards
     here = Window.partitionBy("word", "src")
     place = F.when((F.col("src") == 0) | (F.col("path_no") == F.min("path_no").over(here)), F.col("path_no")).otherwise(F.lit(1 << 30) - F.col("path_no"))
@@ -107,54 +104,60 @@ def interpret_words(distinct: DataFrame, lexicon: Lexicon, config: Config) -> tu
     return rows, reached
 
 
-def word_table(distinct: DataFrame, lexicon: Lexicon, config: Config) -> DataFrame:
-    """Rows of all distinct words of a written table, known or not: ``word, nodes`` and the columns of ``ROW``."""
+def word_table(counted: DataFrame, lexicon: Lexicon, config: Config) -> DataFrame:
+    """``word, n, nodes, rows`` of all words of a written table of distinct words, known or not; stored tables."""
     separators = lexicon.rules.separators
-    known, reached = interpret_words(distinct, lexicon, config)
-    known = stored(known, "known")
-    with_rows = known.select("word").distinct()
-
-    def ign(df: DataFrame) -> DataFrame:
-        word = F.col("word")
-        return df.select(
-            word, F.lit(1).alias("ord"), F.lit(0).alias("src"), F.lit(1).alias("dst"), F.lit(1).alias("nodes"), word.alias("orth"), word.alias("lemma"),
-            F.lit(IGN).alias("tag_id"), F.lit(0).alias("name_id"), F.lit(0).alias("labels_id"),
-        )
-
+    known, reached = interpret_words(counted.select("word"), lexicon, config)
+    row = F.struct("nodes", *ROW)
+    none = F.lit(None).cast(known.select(row.alias("r")).schema["r"].dataType)
+    nothing = F.lit(None).cast("bigint")
+    # one pass by word says which have rows, which only paths, and which nothing
+    every = counted.select("word", "n", F.lit(False).alias("met"), none.alias("row"))
+    every = every.unionAll(reached.select("word", nothing, F.lit(True), none)).unionAll(known.select("word", nothing, F.lit(True), row))
+    by_word = every.repartition("word").groupBy("word").agg(F.max("n").alias("n"), F.bool_or("met").alias("met"), F.collect_list("row").alias("found"))
+    ign = F.array(
+        F.struct(
+            F.lit(1).alias("ord"), F.lit(0).alias("src"), F.lit(1).alias("dst"), F.col("word").alias("orth"), F.col("word").alias("lemma"), F.lit(IGN).alias("tag_id"), F.lit(0).alias("name_id"), F.lit(0).alias("labels_id")
+        )
+    )
+    read = F.array_sort(F.transform("found", lambda x: F.struct(*[x[c].alias(c) for c in ROW])))
     # a word with paths of which none is left is unknown as a whole
-    lost = reached.join(with_rows, "word", "left_anti")
-    out = known.unionByName(ign(lost))
-    unknown = distinct.join(reached, "word", "left_anti")
-    if not separators:
-        return out.unionByName(ign(unknown))
-    cut = unknown.select("word", F.posexplode(parts(F.col("word"), separators)).alias("part_no", "part"))
-    single = cut.where(F.col("part") == F.col("word")).select("word")
-    out = out.unionByName(ign(single))
-    cut = cut.where(F.col("part") != F.col("word"))
+    whole = F.col("met") | (F.size(parts(F.col("word"), separators)) == 1)
+    rows = F.when(F.size("found") > 0, read).when(whole, ign)
+    nodes = F.when(F.size("found") > 0, F.get("found", F.lit(0))["nodes"]).otherwise(F.lit(1))
+    table = stored(by_word.select("word", "n", nodes.alias("nodes"), rows.alias("rows")), "words")
+    rest = table.where("rows is null")
+    if rest.isEmpty():
+        return table
+    cut = rest.select("word", "n", F.posexplode(parts(F.col("word"), separators)).alias("part_no", "part"))
     inner, _ = interpret_words(cut.select(F.col("part").alias("word")).distinct(), lexicon, config)
     pieces = cut.join(inner.withColumnRenamed("word", "part"), "part", "left")
     filled = pieces.select(
-        "word", "part_no",
+        "word", "n", "part_no",
         *[F.coalesce(F.col(c), F.lit(d)).alias(c) for c, d in (("ord", 1), ("src", 0), ("dst", 1), ("nodes", 1), ("tag_id", IGN), ("name_id", 0), ("labels_id", 0))],
         F.coalesce("orth", "part").alias("orth"), F.coalesce("lemma", "part").alias("lemma"),
     )
-    size = F.when(F.row_number().over(Window.partitionBy("word", "part_no").orderBy("ord")) == 1, F.col("nodes")).otherwise(0)
     own = Window.partitionBy("word")
     upto = own.orderBy("part_no", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = filled.withColumn("own", size).withColumn("upto", F.sum("own").over(upto).cast("int")).withColumn("total", F.sum("own").over(own).cast("int"))
+    first = F.coalesce(F.lag("part_no").over(own.orderBy("part_no", "ord")) != F.col("part_no"), F.lit(True))
+    sized = filled.withColumn("own", F.when(first, F.col("nodes")).otherwise(0))
+    summed = sized.withColumn("upto", F.sum("own").over(upto).cast("int")).withColumn("total", F.sum("own").over(own).cast("int"))
     shift = F.col("upto") - F.col("nodes")
     split = summed.select(
-        "word", F.row_number().over(own.orderBy("part_no", "ord")).alias("ord"), (F.col("src") + shift).alias("src"), (F.col("dst") + shift).alias("dst"),
+        "word", "n", F.row_number().over(own.orderBy("part_no", "ord")).alias("ord"), (F.col("src") + shift).alias("src"), (F.col("dst") + shift).alias("dst"),
         F.col("total").alias("nodes"), "orth", "lemma", "tag_id", "name_id", "labels_id",
     )
-    return out.unionByName(split)
+    made = split.groupBy("word").agg(F.first("n").alias("n"), F.first("nodes").alias("nodes"), F.array_sort(F.collect_list(F.struct(*ROW))).alias("rows"))
+    return table.where("rows is not null").unionAll(stored(made, "cut-words"))
 
 
 def tokens(texts: DataFrame, whitespace: WhitespaceHandling, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, word_idx, token, space, lead, trail): words, and runs of white space where they are kept."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     if whitespace == WhitespaceHandling.SKIP:
-        return texts.select(id_col, F.posexplode(words(text)).alias("word_idx", "token")).withColumn("space", F.lit(False))
+        # the outer form: for the inner one the planner adds a filter that works out the array twice
+        cut = texts.select(id_col, F.posexplode_outer(words(text)).alias("word_idx", "token"))
+        return cut.where("token is not null").withColumn("space", F.lit(False))
     cut = texts.select(id_col, F.posexplode(runs(text)).alias("word_idx", "token"))
     cut = cut.withColumn("space", F.size(words(F.col("token"))) == 0)
     if whitespace == WhitespaceHandling.KEEP:
@@ -173,40 +176,90 @@ def analyze(texts: DataFrame, lexicon: Lexicon, config: Config = Config(), id_co
     """
     extra = list(dict.fromkeys([*(session or []), *(order or [])]))
     carried = [c for c in extra if c != id_col]
+    table = vocabulary(texts, lexicon, config, id_col, text_col)
+    total = table.agg(F.sum("n")).first()[0] or 0
+    least = max(2, math.ceil(total * FREQUENT))
+    if config.token_numbering == TokenNumbering.CONTINUOUS and session is not None:
+        by, along = session, [*(order or []), id_col, "word_idx"]
+    else:
+        by, along = [id_col], ["word_idx"]
+    if config.whitespace == WhitespaceHandling.SKIP:
+        # texts are small until they are cut, so parts go by tokens
+        spread = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(total / PART_TOKENS))
+        return _numbered_texts(texts, table, least, spread, id_col, text_col, carried, by, along)
     cut = tokens(texts, config.whitespace, id_col, text_col)
     if carried:
         cut = cut.join(texts.select(id_col, *carried).distinct(), id_col)
+    return number(cut, table, least, config, id_col, by, along)
+
+
+#: A word of at least this share of all tokens is looked up by broadcast: at most its inverse many words, of 64 characters.
+FREQUENT = 1 / 200_000
+#: Tokens of a task that numbers them, on average: they are sorted in its memory.
+PART_TOKENS = 2_000_000
+
+
+def vocabulary(texts: DataFrame, lexicon: Lexicon, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``word, n, nodes, rows``: the distinct words of all texts, how often they occur, and their interpretations."""
+    cut = tokens(texts, config.whitespace, id_col, text_col)
     counted = stored(cut.where("not space").groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("n")), "distinct")
-    table = word_table(counted.select("word"), lexicon, config)
-    # one row a word; its readings are few
-    made = table.groupBy("word").agg(F.first("nodes").alias("nodes"), F.array_sort(F.collect_list(F.struct(*ROW))).alias("rows"))
-    words_ = stored(made.join(counted, "word"), "words")
-    return number(cut, words_, config, id_col, session, order)
+    return word_table(counted, lexicon, config)
 
 
-#: A word of at least this share of all tokens is looked up by broadcast: at most its inverse many words.
-FREQUENT = 1 / 20_000
+def _by_frequency(table: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(frequent words, all others); a frequent word is not long, so that the first are of bounded size."""
+    frequent = (F.col("n") >= least) & (F.length("word") <= 64)
+    return table.where(frequent), table.where(~frequent)
 
 
-def number(cut: DataFrame, table: DataFrame, config: Config, id_col: str = "doc_id", session: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """Join tokens with the rows of their words (``word, nodes, rows, n``), and number the nodes.
+def _before(by: list[str], along: list[str]) -> Column:
+    """Nodes of the words before a word."""
+    span = Window.partitionBy(*by).orderBy(*along)
+    return F.coalesce(F.sum("nodes").over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+
+
+def _numbered_texts(texts: DataFrame, table: DataFrame, least: int, spread: int, id_col: str, text_col: str, carried: list[str], by: list[str], along: list[str]) -> DataFrame:
+    """Join words without the blanks with their rows, and number the nodes.
+
+    Only rare words move to their readings.  They meet their texts again, which move as they are, and
+    are cut where they are numbered; frequent words meet their readings there, by broadcast.
+    """
+    often, rare = _by_frequency(table, least)
+    often = often.withColumnRenamed("word", "token")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = [id_col, *carried]
+    cut = texts.select(*keys, F.posexplode_outer(words(text)).alias("word_idx", "token")).where("token is not null")
+    cut = cut.join(F.broadcast(often.select("token")), "token", "left_anti")
+    met = cut.join(rare.withColumnRenamed("word", "token"), "token").select(*keys, "word_idx", F.struct("nodes", "rows").alias("rare"))
+    none = F.lit(None)
+    both = met.withColumn("text", none.cast("string")).unionAll(texts.select(*keys, none.cast("int"), none.cast(met.schema["rare"].dataType), text))
+    here = F.when(F.col("rare").isNull(), words(F.col("text"))).otherwise(F.array(none.cast("string")))
+    each = both.repartition(spread, *by).select(*keys, "rare", F.col("word_idx").alias("own_idx"), F.posexplode_outer(here).alias("at", "token"))
+    # the width of a row counts until it is placed: a frequent word's readings come after that
+    sized = each.join(F.broadcast(often.select("token", F.col("nodes").alias("some"))), "token", "left").where("rare is not null or some is not null")
+    sized = sized.select(*keys, F.coalesce("own_idx", "at").alias("word_idx"), F.coalesce("rare.nodes", "some").alias("nodes"), F.col("rare.rows").alias("rows"), "token")
+    placed = sized.withColumn("base", _before(by, along))
+    read = placed.join(F.broadcast(often.select("token", F.col("rows").alias("some"))), "token", "left")
+    out = read.select(id_col, "word_idx", "base", F.explode(F.coalesce("rows", "some")).alias("x"))
+    return out.select(
+        id_col, "word_idx", "x.ord", (F.col("base") + F.col("x.src")).alias("start_node"), (F.col("base") + F.col("x.dst")).alias("end_node"), "x.orth", "x.lemma", "x.tag_id", "x.name_id", "x.labels_id"
+    )
+
+
+def number(cut: DataFrame, table: DataFrame, least: int, config: Config, id_col: str, by: list[str], along: list[str]) -> DataFrame:
+    """Join tokens, blanks among them, with the rows of their words (``word, nodes, rows, n``), and number the nodes.
 
     Tokens of frequent words meet theirs by broadcast, and spread over all partitions of the join of the others.
     """
-    least = max(2, math.ceil((table.agg(F.sum("n")).first()[0] or 0) * FREQUENT))
-    often = table.where((F.col("n") >= least) & (F.length("word") <= 64)).select(F.col("word").alias("token"), F.struct("nodes", "rows").alias("often"))
-    rare = table.where((F.col("n") < least) | (F.length("word") > 64)).select(F.col("word").alias("key"), F.struct("nodes", "rows").alias("rare"))
+    often, rare = _by_frequency(table, least)
+    often = often.select(F.col("word").alias("token"), F.struct("nodes", "rows").alias("often"))
+    rare = rare.select(F.col("word").alias("key"), F.struct("nodes", "rows").alias("rare"))
     looked = cut.join(F.broadcast(often), "token", "left")
     # \0 is white space, so no word begins with it
     key = F.when(F.col("often").isNull() & ~F.col("space"), F.col("token")).otherwise(F.concat(F.lit("\0"), (F.xxhash64("token", "word_idx", id_col) % 1_000_000).cast("string")))
     met = looked.withColumn("key", key).join(rare, "key", "left").withColumn("met", F.coalesce("often", "rare")).drop("often", "rare", "key")
     sized = met.withColumn("nodes", F.coalesce("met.nodes", F.lit(1)))
-    if config.token_numbering == TokenNumbering.CONTINUOUS and session is not None:
-        span = Window.partitionBy(*session).orderBy(*(order or []), id_col, "word_idx")
-    else:
-        span = Window.partitionBy(id_col).orderBy("word_idx")
-    before = F.coalesce(F.sum("nodes").over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    placed = sized.withColumn("base", before)
+    placed = sized.withColumn("base", _before(by, along))
     rows = placed.where("not space").withColumn("x", F.explode("met.rows")).select(*[c for c in placed.columns if c != "met"], "x.*")
     orth = F.col("orth")
     if config.whitespace == WhitespaceHandling.APPEND:

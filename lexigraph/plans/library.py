@@ -52,7 +52,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary entries made from the documents, and the two marks."""
     docs = _table(spark, sf_dir, "documents")
-    word = docs.select(F.explode(tx.words(F.col("text"))).alias("t")).select(F.lower("t").alias("orth")).distinct()
+    # the outer form: for the inner one the planner adds a filter that works out the array twice
+    word = docs.select(F.explode_outer(tx.words(F.col("text"))).alias("t")).where("t is not null").select(F.lower("t").alias("orth")).distinct()
     word = word.where(F.col("orth").rlike(_LETTERS))
     n = F.length("orth")
     tag = F.get(F.array(*map(F.lit, ["adj:sg.pl:nom", "adv:pos", "subst:sg:_", "verb:fin"])), n % 4)

@@ -1,9 +1,11 @@
 import pytest
 import toy
+from pyspark.sql import functions as F
 
 from lexigraph.config import CaseHandling, Config, TokenNumbering, WhitespaceHandling
 from lexigraph.operators import analyze as an
 from lexigraph.operators import generate as gn
+from lexigraph.operators import paths as ps
 from lexigraph.operators import present as pr
 
 
@@ -99,3 +101,29 @@ def test_long_paths(spark):
     for cycle in ([edge(1, 0, 0, 1), edge(1, 1, 1, 0)], [edge(1, 0, 0, 1), edge(1, 1, 1, 2), edge(1, 2, 2, 1)]):
         with pytest.raises(ValueError, match="cycle"):
             pr.all_paths(spark.createDataFrame(cycle, EDGES))
+
+
+def test_cuts_that_lead_nowhere_are_not_tried(spark, lexicon, monkeypatch):
+    """The same paths with and without a look at the character after a cut."""
+    words = spark.createDataFrame([(w,) for w in ("house", "rehouse", "Houses!!", "121", "rant", "Bonn", "xyz", "1x", "re", "!", "12re", "ünt")], "word string")
+    for aggl in ("strict", "permissive"):
+        variant = lexicon.rules.variant(aggl, "split")
+        assert ps._later_chars(lexicon, variant) == ("!,12bh" if aggl == "strict" else "!,12bhnt")
+        got = sorted(map(str, ps.segmentations(words, lexicon, variant).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(ps, "_later_chars", lambda *_: None)
+            assert got == sorted(map(str, ps.segmentations(words, lexicon, variant).collect())) and len(got) > 6
+
+
+@pytest.mark.parametrize("frequent", [1.0, 1 / 200_000])
+def test_numbers_of_repeated_and_null_ids(spark, lexicon, monkeypatch, frequent):
+    """Words meet their readings in their texts, by broadcast or not; texts that share an id are one."""
+    monkeypatch.setattr(an, "FREQUENT", frequent)
+    texts = [(1, "house xyz,house ran"), (1, "xyz ran ran"), (None, "ran house"), (2, None), (3, " "), (4, "house house xyz house")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("s", F.coalesce("doc_id", F.lit(4)))
+    got = an.analyze(df, lexicon).select("doc_id", "word_idx", "ord", "orth", "start_node", "end_node").collect()
+    assert sorted(r["start_node"] for r in got if r["doc_id"] == 1) == list(range(8)) and {r["end_node"] - r["start_node"] for r in got} == {1}
+    assert sorted(map(tuple, got[:0] + [r for r in got if r["doc_id"] is None]))[:2] == [(None, 0, 1, "ran", 0, 1), (None, 1, 1, "house", 1, 2)]
+    assert sorted(tuple(r)[1:] for r in got if r["doc_id"] == 4) == [(i, 1, o, i, i + 1) for i, o in enumerate(["house", "house", "xyz", "house"])]
+    run_on = an.analyze(df, lexicon, Config(token_numbering=TokenNumbering.CONTINUOUS), session=["s"], order=["doc_id"]).collect()
+    assert sorted(r["start_node"] for r in run_on if r["doc_id"] in (None, 4)) == list(range(6))

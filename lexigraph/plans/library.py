@@ -108,8 +108,11 @@ def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tag_counts", f"WITH {_rows_sql('documents', 'doc_id')} SELECT lang, tag, count(*)::BIGINT AS n, count(DISTINCT lemma)::BIGINT AS lemmas FROM rows JOIN documents USING (doc_id) GROUP BY lang, tag")
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon, docs = analyzer(spark, sf_dir), _table(spark, sf_dir, "documents")
-    rows = pr.named(an.analyze(docs, lexicon), lexicon).select("doc_id", "tag", "lemma")
-    return rows.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lemma").alias("lemmas"))
+    # counts need no nodes: words are counted before they meet their readings.  The join is the SQL's, for rows that share an id
+    texts = docs.select("doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
+    words = texts.select("lang", F.explode_outer(tx.words(F.col("text"))).alias("word")).where("word is not null").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("times"))
+    rows = words.join(an.vocabulary(docs, lexicon).select("word", F.explode("rows").alias("x")), "word").select("lang", "times", "x.*")
+    return pr.named(rows, lexicon).groupBy("lang", "tag").agg(F.sum("times").alias("n"), F.countDistinct("lemma").alias("lemmas"))
 
 
 @register("continuous_numbering", f"WITH {_rows_sql('conversations', 'conv_id, turn', 'conv_id')} SELECT conv_id, turn, {', '.join(_SHOWN)} FROM rows")

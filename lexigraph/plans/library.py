@@ -156,8 +156,10 @@ def append_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("unknown_words", f"WITH {_rows_sql('documents', 'doc_id')} SELECT orth, count(*)::BIGINT AS n FROM rows WHERE tag_id = 0 GROUP BY orth")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = an.analyze(_table(spark, sf_dir, "documents"), analyzer(spark, sf_dir))
-    return rows.where(F.col("tag_id") == an.IGN).groupBy("orth").agg(F.count(F.lit(1)).alias("n"))
+    # a word's rows are the same wherever it is, so they count as often as the word
+    words = an.vocabulary(_table(spark, sf_dir, "documents"), analyzer(spark, sf_dir))
+    rows = words.select("n", F.explode("rows").alias("x")).where(F.col("x.tag_id") == an.IGN)
+    return rows.groupBy("x.orth").agg(F.sum("n").alias("n"))
 
 
 @register("compile_lexicon", f"WITH {_LEX} SELECT lower(orth) AS lex_key, (length(orth) - length(base))::INT AS cut, tag_id, name, labels FROM lexicon")

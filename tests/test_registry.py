@@ -11,7 +11,7 @@ def test_names_agree():
     assert "analyze_documents" in queries
 
 
-@pytest.mark.parametrize("name", ["tag_counts"])
+@pytest.mark.parametrize("name", ["tag_counts", "unknown_words"])
 def test_counts_number_no_tokens(spark, monkeypatch, tmp_path, name):
     """Counts of words come from the distinct words, with the rows of the SQL where ids repeat or are null."""
     monkeypatch.setattr(an, "_numbered_texts", None)
